@@ -6,15 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessel.llm.gray_simhash import near_duplicates
+from tessel.llm.ogg_media import ogg_columns
+from tessel.llm.order_minhash import edited_fingerprints
 from tessel.llm.piece_bpe import encode_documents
 from tessel.llm.shared import read_table
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(read_table(spark, sf_dir, "documents"))
+
+
+def op3_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op9_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg_columns(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_order_minhash": op2_order_minhash,
+    "op3_gray_simhash": op3_gray_simhash,
     "op4_sentencepiece": op4_sentencepiece,
+    "op9_ogg": op9_ogg,
 }
 ORACLES: dict[str, str] = {}
