@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessel.llm.curriculum import mix
 from tessel.llm.gray_simhash import near_duplicates
 from tessel.llm.ogg_media import ogg_columns
 from tessel.llm.order_minhash import edited_fingerprints
 from tessel.llm.piece_bpe import encode_documents
+from tessel.llm.secret_scan import scan
 from tessel.llm.shared import read_table
 
 
@@ -25,6 +27,14 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op5_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read_table(spark, sf_dir, "documents"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(read_table(spark, sf_dir, "documents"))
+
+
 def op9_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg_columns(read_table(spark, sf_dir, "documents"))
 
@@ -33,6 +43,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_order_minhash": op2_order_minhash,
     "op3_gray_simhash": op3_gray_simhash,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_curriculum": op5_curriculum,
+    "op8_secret_scan": op8_secret_scan,
     "op9_ogg": op9_ogg,
 }
 ORACLES: dict[str, str] = {}
