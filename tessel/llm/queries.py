@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessel.llm.curriculum import mix
 from tessel.llm.gray_simhash import near_duplicates
+from tessel.llm.line_chunks import remove_repeats
 from tessel.llm.ogg_media import ogg_columns
 from tessel.llm.order_minhash import edited_fingerprints
 from tessel.llm.piece_bpe import encode_documents
@@ -31,6 +32,10 @@ def op5_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))
 
 
+def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars", "removed_chunks", "removed_lines")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read_table(spark, sf_dir, "documents"))
 
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_gray_simhash": op3_gray_simhash,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_curriculum": op5_curriculum,
+    "op7_line_chunks": op7_line_chunks,
     "op8_secret_scan": op8_secret_scan,
     "op9_ogg": op9_ogg,
 }
