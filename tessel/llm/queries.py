@@ -14,6 +14,11 @@ from tessel.llm.order_minhash import edited_fingerprints
 from tessel.llm.piece_bpe import encode_documents
 from tessel.llm.secret_scan import scan
 from tessel.llm.shared import read_table
+from tessel.llm.toxicity import toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +50,7 @@ def op9_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_order_minhash": op2_order_minhash,
     "op3_gray_simhash": op3_gray_simhash,
     "op4_sentencepiece": op4_sentencepiece,
