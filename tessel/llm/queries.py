@@ -15,6 +15,7 @@ from tessel.llm.piece_bpe import encode_documents
 from tessel.llm.secret_scan import scan
 from tessel.llm.shared import read_table
 from tessel.llm.toxicity import toxicity
+from tessel.llm.weak_quality import quality
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +38,10 @@ def op5_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))
 
 
+def op6_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read_table(spark, sf_dir, "documents"))
+
+
 def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars", "removed_chunks", "removed_lines")
 
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_gray_simhash": op3_gray_simhash,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_curriculum": op5_curriculum,
+    "op6_weak_quality": op6_weak_quality,
     "op7_line_chunks": op7_line_chunks,
     "op8_secret_scan": op8_secret_scan,
     "op9_ogg": op9_ogg,
