@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessel.llm.curriculum import mix
 from tessel.llm.gray_simhash import near_duplicates
+from tessel.llm.language_gru import identify
 from tessel.llm.line_chunks import remove_repeats
 from tessel.llm.ogg_media import ogg_columns
 from tessel.llm.order_minhash import edited_fingerprints
@@ -54,6 +55,10 @@ def op9_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg_columns(read_table(spark, sf_dir, "documents"))
 
 
+def op10_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_order_minhash": op2_order_minhash,
@@ -64,5 +69,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_line_chunks": op7_line_chunks,
     "op8_secret_scan": op8_secret_scan,
     "op9_ogg": op9_ogg,
+    "op10_language_gru": op10_language_gru,
 }
 ORACLES: dict[str, str] = {}
