@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessel.functions.text import DEFAULT, TokenOptions
 from tessel.operators import postings as P
 
-PAGE = T.StructType.fromDDL("title string, ns int, id long, redirect struct<_title string>, revision struct<id long, timestamp string, text string>")
-POST = T.StructType.fromDDL("_Id string, _PostTypeId string, _ParentId string, _Title string, _Body string, _Score int, _ViewCount int, _AnswerCount int, _Tags string, _CreationDate string")
-DOCUMENT = T.StructType.fromDDL("id long, external_id string, source string, title string, text string, meta struct<url string, timestamp string, raw_length_bytes long, language string, tags string, score int, views int>")
+PAGE = "title string, ns int, id long, redirect struct<_title string>, revision struct<id long, timestamp string, text string>"
+POST = "_Id string, _PostTypeId string, _ParentId string, _Title string, _Body string, _Score int, _ViewCount int, _AnswerCount int, _Tags string, _CreationDate string"
+DOCUMENT = "id long, external_id string, source string, title string, text string, meta struct<url string, timestamp string, raw_length_bytes long, language string, tags string, score int, views int>"
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -24,7 +23,7 @@ def read_posts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "row").schema(POST).load(path)
 
 
-def parse_page(column: str) -> F.Column:
+def parse_page(column: str) -> Column:
     """The same for a column of page texts."""
     return F.from_xml(column, PAGE, {"rowTag": "page"})
 
