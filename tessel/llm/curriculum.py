@@ -99,10 +99,12 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
 
 
 def by_position(df: DataFrame, at: Column, *ties: str) -> DataFrame:
-    """Range-sort by a position from 0 to 1, null last. The ranges are known, so no sample of the rows is needed."""
+    """Range-sort by a position from 0 to 1. The ranges are known, so no sample of the rows is needed. Rows without a
+    position come last, dealt by hash to as many partitions again; ties names the columns that order equal positions."""
     width = shuffle_width(df.sparkSession)
-    place = F.coalesce(F.least(F.lit(width - 1), F.floor(at * width)), F.lit(width - 1)).cast("int")
-    return df.repartitionById(width, place).sortWithinPartitions(at.asc_nulls_last(), *ties)
+    late = F.lit(width) + F.pmod(F.xxhash64(*ties), F.lit(width)) if ties else F.lit(width - 1)
+    place = F.coalesce(F.least(F.lit(width - 1), F.floor(at * width)), late).cast("int")
+    return df.repartitionById(width * 2 if ties else width, place).sortWithinPartitions(at.asc_nulls_last(), *ties)
 
 
 def training_stream(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
