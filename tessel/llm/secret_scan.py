@@ -84,9 +84,14 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", owner: str =
     """
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     found = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{owner}`").alias("owner"), *[find_spans(t, *k).alias(k[0]) for k in (*BASE, *ADDED)])
-    base, added = F.concat(*[F.col(k[0]) for k in BASE]), F.concat(*[F.col(k[0]) for k in ADDED])
-    # A mixed string inside a base span, or a service token inside one, is that span already.
-    outside = F.filter(added, lambda a: ~F.exists(base, lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"])))
+    base = F.concat(*[F.col(k[0]) for k in BASE])
+    apart = lambda spans, others: F.filter(spans, lambda a: ~F.exists(others, lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"])))
+    # A span of an added kind that overlaps one of a kind before it is that span already.
+    taken, added = base, []
+    for kind, *_ in ADDED:
+        added.append(apart(F.col(kind), taken))
+        taken = F.concat(taken, F.col(kind))
+    outside = F.concat(*added)
     found = found.select("key", "owner", F.xxhash64("key", "owner", F.monotonically_increasing_id()).alias("row"), base.alias("base"), outside.alias("added"))
     found = cut(found, "secret-spans")
     spread = found.select("row", "key", "owner", F.explode(F.concat("base", "added")).alias("s"))
