@@ -94,6 +94,6 @@ def index_sizes(posted: DataFrame, forward: DataFrame) -> DataFrame:
     """One row: bytes of the packed forward index and of the inverted index with plain and with packed postings."""
     words = dictionary(posted).agg(F.count("*").alias("terms"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("term_bytes"), F.coalesce(F.sum("df"), F.lit(0)).alias("n"))
     heap = forward.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.octet_length("url") + F.octet_length("title")), F.lit(0)).alias("heap"))
-    both = words.crossJoin(heap).crossJoin(packed_bytes(posted))  # three tables of one row
+    both = words.select("*", *[heap.select(c).scalar().alias(c) for c in heap.columns], packed_bytes(posted).scalar().alias("postings_bytes"))
     head = F.lit(INVERTED_HEADER) + F.col("terms") * INVERTED_RECORD + F.col("term_bytes")
     return both.select((F.lit(FORWARD_HEADER) + F.col("docs") * FORWARD_RECORD + F.col("heap")).cast("long").alias("fwd_bytes"), (head + F.col("n") * DOC_ID_BYTES).cast("long").alias("inv1_bytes"), (head + F.col("postings_bytes")).cast("long").alias("inv2_bytes"))

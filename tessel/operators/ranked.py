@@ -73,8 +73,7 @@ def top(hits: DataFrame, n: int = TOP) -> DataFrame:
 
 def with_hits(hits: DataFrame, n: int = TOP) -> DataFrame:
     """The best n with hits, the number there were before the cut."""
-    total = hits.agg(F.count("*").alias("hits"))
-    return top(hits, n).crossJoin(F.broadcast(total))
+    return top(hits, n).withColumn("hits", hits.agg(F.count("*")).scalar())
 
 
 def ranked_batch(posted: DataFrame, docs: DataFrame, queries: list[tuple[int, str]], n_docs: int, n: int = TOP, options: TokenOptions = DEFAULT, on_error: str = "raise") -> DataFrame:

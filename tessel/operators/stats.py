@@ -42,7 +42,7 @@ def top_terms(freq: DataFrame, n: int = 50) -> DataFrame:
 def zipf(freq: DataFrame) -> DataFrame:
     """(rank, freq, zipf_pred): the frequency that the highest one divided by the rank predicts."""
     highest = freq.agg(F.max("freq").alias("f1"))
-    return ranked_terms(freq).crossJoin(F.broadcast(highest)).select("rank", "freq", (F.col("f1").cast("double") / F.col("rank").cast("double")).alias("zipf_pred"))
+    return ranked_terms(freq).select("rank", "freq", (highest.scalar().cast("double") / F.col("rank").cast("double")).alias("zipf_pred"))
 
 
 def limit_docs(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
