@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessel.llm.curriculum import mix
 from tessel.llm.gray_simhash import near_duplicates
@@ -36,7 +37,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(read_table(spark, sf_dir, "documents"))
+    """The positions of the two passes as columns, null where a pass doesn't take the document."""
+    mixed = mix(read_table(spark, sf_dir, "documents"))
+    at = lambda i: F.round(F.try_element_at("positions", F.lit(i)), 9)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "times", at(1).alias("first_position"), at(2).alias("second_position"))
 
 
 def op6_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +75,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ogg": op9_ogg,
     "op10_language_gru": op10_language_gru,
 }
-ORACLES: dict[str, str] = {}
+
+_AT = "round(CASE WHEN a = b THEN m / target ELSE (sqrt(a * a + 2 * (b - a) * (m / target * (a + b) / 2)) - a) / (b - a) END, 9)"
+
+ORACLES: dict[str, str] = {
+    "op5_curriculum": f"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS mark FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS slot FROM d GROUP BY source),
+w AS (SELECT *, CASE slot % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, CASE slot % 3 WHEN 0 THEN 1.5::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE 1::DOUBLE END AS a, CASE slot % 3 WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 1.5::DOUBLE ELSE 1::DOUBLE END AS b FROM s),
+r AS (SELECT *, source_size::DOUBLE / weight AS ratio, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(source_size) OVER before, 0) * 2) / (sum(weight) OVER after)::DOUBLE AS level FROM w WINDOW before AS (ORDER BY source_size::DOUBLE / weight, slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), after AS (ORDER BY source_size::DOUBLE / weight, slot ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+line AS (SELECT level FROM r WHERE level * weight < source_size * 2 ORDER BY ratio, slot LIMIT 1),
+t AS (SELECT source, source_size, a, b, least(source_size * 2::DOUBLE, coalesce((SELECT level FROM line) * weight, source_size * 2::DOUBLE)) AS target FROM r),
+p AS (SELECT d.doc_id, size, source_size, target, d.source, a, b, sum(size) OVER (PARTITION BY d.source ORDER BY mark, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING)::BIGINT - size / 2::DOUBLE AS middle FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, size > 0 AND middle < target AS one, size > 0 AND middle + source_size < target AS two FROM p)
+SELECT doc_id, size, source_size, target, (size * (one::BIGINT + two::BIGINT))::BIGINT AS taken, source, (one::BIGINT + two::BIGINT)::BIGINT AS times,
+CASE WHEN one THEN {_AT.replace("m /", "middle /")} END AS first_position, CASE WHEN two THEN {_AT.replace("m /", "(middle + source_size) /")} END AS second_position FROM q""",
+}
