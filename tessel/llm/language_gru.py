@@ -173,12 +173,13 @@ def sample_tokens(docs: DataFrame, text: str = "text", key: str = "doc_id", lang
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for k, t in zip(batch.column("k").to_pylist(), batch.column("t").to_pylist()):
+            for t in batch.column("t").to_pylist():
                 tokens = {w for w in (t or "").lower().split() if _letter(w)}
                 out.append(sorted(tokens, key=lambda w: (zlib.crc32(w.encode()), w))[:SAMPLE_TOKENS])
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(out, pa.list_(pa.string()))], ["y", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("y"), pa.array(out, pa.list_(pa.string()))], ["k", "y", "tokens"])
 
-    found = rows.mapInArrow(run, "y string, tokens array<string>").collect()
+    # One row per key and language before anything is gathered, however often they repeat.
+    found = rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, y string, tokens array<string>").groupBy("k", "y").agg(F.min("tokens").alias("tokens")).collect()
     pairs = sorted((w, r["y"]) for r in found for w in r["tokens"])
     return [w for w, _ in pairs], [y for _, y in pairs]
 

@@ -1,12 +1,10 @@
-"""Pieces that the training-data operators share: storage between jobs, bounded samples, Arrow batch plumbing."""
+"""Pieces that the training-data operators share: storage between jobs, bounded samples, hashing."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,19 +50,6 @@ def sample_order(column: Column, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), column)
 
 
-def arrow_rows(fn: Callable[[list], list], inputs: list[str], outputs: pa.Schema, slice_rows: int = 1024):
-    """A mapInArrow function: fn gets one Python list per input column and returns one list per output column."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, slice_rows):
-                part = batch.slice(at, slice_rows)
-                columns = fn(*[part.column(part.schema.get_field_index(name)).to_pylist() for name in inputs])
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, outputs.types, strict=True)], schema=outputs)
-
-    return run
-
-
 def bit_mix(x):
     """Finaliser of splitmix64 over a numpy uint64 array."""
     import numpy as np

@@ -168,11 +168,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, text: str =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("y"), pa.array([sorted(words(t)) for t in batch.column("t").to_pylist()], pa.list_(pa.string()))], ["k", "y", "words"])
 
-    found = rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, y int, words array<string>").collect()
-    first = {}
-    for r in sorted(found, key=lambda r: (r["k"], r["words"])):
-        first.setdefault(r["k"], (list(r["words"]), r["y"]))
-    return list(first.values())
+    # One row per key before anything is gathered, however often a key repeats.
+    found = rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, y int, words array<string>").groupBy("k", "y").agg(F.min("words").alias("words")).collect()
+    return [(list(r["words"]), r["y"]) for r in sorted(found, key=lambda r: r["k"])]
 
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id", fold: int = 5) -> DataFrame:

@@ -203,8 +203,10 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[Score
             found = [(votes(s), *features(s, kinds)) for s, kinds in map(statistics, batch.column("t").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1].tolist() for f in found], pa.list_(pa.int64())), pa.array([f[2].tolist() for f in found], pa.list_(pa.float64()))], ["k", "votes", "slots", "vals"])
 
-    found = rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, votes string, slots array<long>, vals array<double>").collect()
-    found = sorted(found, key=lambda r: (r["k"], r["votes"], r["slots"]))[:SAMPLE_ROWS]
+    described = rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, votes string, slots array<long>, vals array<double>")
+    # One row per key before anything is gathered, however often a key repeats.
+    found = described.groupBy("k").agg(F.min(F.struct("votes", "slots", "vals")).alias("r")).select("k", "r.*").collect()
+    found = sorted(found, key=lambda r: r["k"])
     model = train([(np.array(r["slots"], np.int64), np.array(r["vals"])) for r in found], [posterior[r["votes"]] for r in found])
     return model, posterior, accuracy
 
