@@ -9,6 +9,10 @@ from tessel.functions.text import DEFAULT, TokenOptions, raw_tokens, tokens
 from tessel.operators.ordering import numbered, numbered_by_id, sum_by_id
 
 
+#: Rows up to which a limit is a top-k sort of whole rows.
+SHORT_LIMIT = 10_000
+
+
 def corpus_stats(docs: DataFrame, options: TokenOptions = DEFAULT, text: str = "text") -> DataFrame:
     """One row: docs, bytes_in, tokens, token_chars (before stemming), avg_token_len. Rows without text don't count."""
     per = docs.filter(F.col(text).isNotNull()).select(F.octet_length(text).alias("b"), raw_tokens(F.col(text), options).alias("t"))
@@ -48,7 +52,12 @@ def zipf(freq: DataFrame) -> DataFrame:
 def limit_docs(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The first n documents with text, by key; n of 0 still takes one, a negative n all."""
     there = docs.filter(F.col(text).isNotNull())
-    return there if n < 0 else there.orderBy(key).limit(max(1, n))
+    if n < 0:
+        return there
+    if n <= SHORT_LIMIT:
+        return there.orderBy(key).limit(max(1, n))
+    # A long limit ranks ids only; the texts come back by key.
+    return there.join(numbered_by_id(there.select(key), key, "_rank").filter(F.col("_rank") <= n).select(key), key, "left_semi")
 
 
 def limit_bytes(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -33,6 +33,8 @@ def test_limits(docs, monkeypatch):
     monkeypatch.setattr(O, "STRIDE", 2)
     ids = lambda df: sorted(r["doc_id"] for r in df.collect())
     assert ids(S.limit_docs(docs, 0)) == [0] and ids(S.limit_docs(docs, 2)) == [0, 1] and ids(S.limit_docs(docs, -1)) == [0, 1, 3]
+    monkeypatch.setattr(S, "SHORT_LIMIT", 0)
+    assert ids(S.limit_docs(docs, 2)) == [0, 1]
     assert ids(S.limit_bytes(docs, 5)) == [0] and ids(S.limit_bytes(docs, 6)) == [0, 1] and ids(S.limit_bytes(docs, 0)) == [0] and ids(S.limit_bytes(docs, -1)) == [0, 1, 3]
 
 
