@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +15,8 @@ from tessel.operators import ingest as I
 from tessel.operators import postings as P
 from tessel.operators import ranked as R
 from tessel.operators import stats as S
+from tessel.sources.storage import new_place
+from tessel.streaming.ingest import ingest_once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -410,12 +411,7 @@ def avg_len_first_1000(spark, d):
 @query("SELECT url, md5(html) AS digest FROM (SELECT url, html, row_number() OVER (PARTITION BY url ORDER BY page_id) AS r FROM pages) WHERE r = 1")
 def streaming_ingest(spark, d):
     """Pages as a stream of files, stored once each."""
-    import uuid
-
-    from tessel.streaming.ingest import ingest_once
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessel-")
-    home = f"{root}/ingest-{uuid.uuid4().hex}"
+    home = new_place(spark, "ingest")
     pages = I.first_by(table(spark, d, "pages"), "url", "page_id").select("url", F.col("html").alias("raw_html"))
     pages.write.parquet(f"{home}/incoming")
     stream = spark.readStream.schema(pages.schema).parquet(f"{home}/incoming")
