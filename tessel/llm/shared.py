@@ -2,34 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word is a maximal run of characters other than space and \t \n \v \f \r.
-WORD = r"[^\x20\x09-\x0D]+"
+from tessel.sources.storage import cut, storage_root, sweep
 
+__all__ = ["WORD", "bit_mix", "cut", "id_remainder", "read_table", "sample_order", "shuffle_width", "storage_root", "sweep"]
 
-def storage_root(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only in local mode with the setting unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = getattr(storage_root, "local", None)
-    if root is None:
-        root = storage_root.local = "file://" + tempfile.mkdtemp(prefix="tessel-")
-    return root
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write df below the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation."""
-    path = f"{storage_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: A word is a maximal run of characters other than space and \t \n \v \f \r.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shuffle_width(spark: SparkSession) -> int:

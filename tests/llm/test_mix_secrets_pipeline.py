@@ -12,6 +12,7 @@ from tessel.llm import curriculum as C
 from tessel.llm import queries
 from tessel.llm import secret_scan as S
 from tessel.llm import shared
+from tessel.sources import storage
 from tests.llm.conftest import multiset
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -111,8 +112,10 @@ def test_storage_root(spark, tmp_path, monkeypatch):
     unset = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://x", getConf=lambda: SimpleNamespace(get=lambda *_: None)))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared.storage_root(unset)
-    monkeypatch.setattr(shared, "storage_root", lambda _: f"file://{tmp_path}/shared")
+    monkeypatch.setattr(storage, "storage_root", lambda _: f"file://{tmp_path}/shared")
+    monkeypatch.setattr(storage, "_written", [])
     assert shared.cut(spark.range(3), "x").count() == 3 and list((tmp_path / "shared").glob("x-*"))
+    assert storage.sweep(spark) == 1 and not list((tmp_path / "shared").glob("x-*"))
 
 
 def test_pipeline_stages(spark, docs, fixture_rows):
