@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessel.llm import secret_scan
 from tessel.llm.curriculum import mix
 from tessel.llm.gray_simhash import near_duplicates
 from tessel.llm.language_gru import identify
@@ -14,7 +15,6 @@ from tessel.llm.line_chunks import remove_repeats
 from tessel.llm.ogg_media import ogg_columns
 from tessel.llm.order_minhash import edited_fingerprints
 from tessel.llm.piece_bpe import encode_documents
-from tessel.llm.secret_scan import scan
 from tessel.llm.shared import read_table
 from tessel.llm.toxicity import toxicity
 from tessel.llm.weak_quality import quality
@@ -52,7 +52,7 @@ def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(read_table(spark, sf_dir, "documents"))
+    return secret_scan.scan(read_table(spark, sf_dir, "documents"))
 
 
 def op9_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _AT = "round(CASE WHEN a = b THEN m / target ELSE (sqrt(a * a + 2 * (b - a) * (m / target * (a + b) / 2)) - a) / (b - a) END, 9)"
 
 ORACLES: dict[str, str] = {
+    "op8_secret_scan": secret_scan.ORACLE,
     "op5_curriculum": f"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS mark FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS slot FROM d GROUP BY source),

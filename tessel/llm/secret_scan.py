@@ -9,6 +9,8 @@ ownership says that it is live.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +32,10 @@ BASE = (
 ADDED = (
     ("service", "(?:gh[pousr]_|glpat-|xox[abprs]-|sk_live_|AIza)[A-Za-z0-9_-]{16,}", 0, 20),
     ("webtoken", "eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", 0, 30),
-    ("mixed", "(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{24,}={0,2}", 0, 24),
+    ("mixed", "[A-Za-z0-9+/_=-]{24,}", 0, 24),
 )
+#: What a mixed string needs besides: its characters up to padding, and one of each sort.
+MIXED = ("^[A-Za-z0-9+/_-]{24,}={0,2}$", "[0-9]", "[a-z]", "[A-Z]")
 #: A value held by this many owners, or this many repositories, is an example.
 EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 2, 8
 #: A value looks live if at least this share of its characters are different ones.
@@ -44,6 +48,12 @@ def find_spans(text: Column, kind: str, pattern: str, group: int, least: int) ->
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else match
     pieces = F.split(text, pattern)
     pairs = F.arrays_zip(pieces.alias("piece"), match.alias("match"), value.alias("value"))
+    whole = F.filter(pairs, lambda p: p["match"].isNotNull())
+    if kind == "mixed":
+        fits = lambda v: reduce(lambda a, b: a & b, [v.rlike(m) for m in MIXED])
+        keep = lambda v: (F.length(v) >= least) & fits(v)
+    else:
+        keep = lambda v: F.length(v) >= least
     # Lengths add up from the left: each match starts where the pieces and matches before it end.
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:string,end:int,value:string>>").alias("out"))
 
@@ -51,9 +61,8 @@ def find_spans(text: Column, kind: str, pattern: str, group: int, least: int) ->
         begin = state["at"] + F.length(pair["piece"])
         end = begin + F.length(pair["match"])
         span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), pair["value"].alias("value"))
-        return F.struct(end.alias("at"), F.when(F.length(pair["value"]) >= least, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
+        return F.struct(end.alias("at"), F.when(keep(pair["value"]), F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
 
-    whole = F.filter(pairs, lambda p: p["match"].isNotNull())
     none = F.array().cast("array<struct<start:int,kind:string,end:int,value:string>>")
     return F.when(text.rlike(pattern), F.aggregate(whole, start, step, lambda s: s["out"])).otherwise(none)
 
@@ -105,3 +114,27 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", owner: str =
     more = F.coalesce(F.col("more"), F.array().cast("array<struct<start:int,kind:string,end:int>>"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return out.select(F.col("key").alias(key), *[count(k[0]) for k in BASE], F.sha2(_joined(plain).cast("binary"), 256).alias("base_sha256"), _joined(F.concat(plain, more)).alias("spans"), F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"), F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"))
+
+
+def _sql() -> str:
+    """The same in SQL, over the table documents."""
+    kinds = [*BASE, *ADDED]
+    quote = lambda p: "'" + p.replace("'", "''") + "'"
+    raw = " UNION ALL ".join(f"SELECT row, '{k}' AS kind, {i} AS rank, {n} AS least, regexp_split_to_array(t, {quote(p)}) AS p, regexp_extract_all(t, {quote(p)}, 0) AS m, regexp_extract_all(t, {quote(p)}, {g}) AS v FROM d WHERE regexp_matches(t, {quote(p)})" for i, (k, p, g, n) in enumerate(kinds))
+    mixed = " AND ".join(f"regexp_matches(v, {quote(m)})" for m in MIXED)
+    spelled = "string_agg(kind || ':' || start || ':' || fin, ',' ORDER BY start, rank)"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k[0]}') AS n_{k[0]}" for k in BASE)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS t FROM documents),
+raw AS ({raw}),
+each AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM raw),
+placed AS (SELECT row, kind, rank, least, m[i] AS m, v[i] AS v, (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start FROM each),
+spans AS (SELECT row, kind, rank, start, start + length(m) AS fin, v FROM placed WHERE length(v) >= least AND (kind <> 'mixed' OR ({mixed}))),
+kept AS (SELECT * FROM spans a WHERE rank < {len(BASE)} OR NOT EXISTS (SELECT 1 FROM spans b WHERE b.row = a.row AND b.rank < greatest(a.rank, {len(BASE)}) AND a.start < b.fin AND b.start < a.fin)),
+held AS (SELECT v, count(DISTINCT coalesce(doc_id::VARCHAR, '-')) AS repositories, count(DISTINCT coalesce('=' || source, '-')) AS owners FROM kept JOIN d USING (row) GROUP BY v),
+judged AS (SELECT kept.*, owners >= {EXAMPLE_OWNERS} OR repositories >= {EXAMPLE_REPOSITORIES} AS example, len(list_distinct(string_split(v, ''))) >= length(v) * {VARIETY}::DOUBLE AS varied FROM kept JOIN held USING (v)),
+told AS (SELECT row, {counts}, {spelled} FILTER (rank < {len(BASE)}) AS base, {spelled} FILTER (rank < {len(BASE)} OR (NOT example AND varied)) AS spans, count(*) FILTER (NOT example AND varied) AS n_live, count(*) FILTER (example) AS n_example FROM judged GROUP BY row)
+SELECT doc_id, {", ".join(f"coalesce(n_{k[0]}, 0) AS n_{k[0]}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM d LEFT JOIN told USING (row)"""
+
+
+ORACLE = _sql()
