@@ -180,7 +180,8 @@ def edited_fingerprints(docs: DataFrame, width: int | None = None) -> DataFrame:
     if helper is None:
         helper = F.lit(None)
     dealt = placed.select("doc_id", "t", F.explode(F.filter(F.array(F.struct(F.col("range").alias("at"), F.lit(False).alias("extra")), F.struct(helper.cast("int").alias("at"), F.lit(True).alias("extra"))), lambda s: s["at"].isNotNull())).alias("s")).select("s.at", "s.extra", "doc_id", "t")
-    sorted_ = dealt.repartition(width, "at").sortWithinPartitions("at", "extra", F.col("doc_id").desc_nulls_last(), "t")
+    # Each range is a partition of its own; hashing them would put several into one.
+    sorted_ = dealt.repartitionById(len(bounds) + 2, "at").sortWithinPartitions("at", "extra", F.col("doc_id").desc_nulls_last(), "t")
 
     result = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
