@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessel.functions.text import clean_article, clean_html, clean_markup, clean_post, encode_url, is_service_page
 
+# Addresses of articles and questions.
 WIKI_BASE = "https://ru.wikipedia.org/wiki/"
 POST_BASE = "https://ru.stackoverflow.com/questions/"
 #: Characters that a text needs: cleaned ones in extracts, raw ones in crawls.
