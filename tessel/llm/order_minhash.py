@@ -11,11 +11,12 @@ tuples). A text with fewer than TUPLE k-mers takes them all in every place.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm.shared import bit_mix, shuffle_width
@@ -151,6 +152,19 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     return source.mapInArrow(run, f"k {source.schema['k'].dataType.simpleString()}, fingerprint string").withColumnRenamed("k", key)
 
 
+def _constant(values: list) -> Column:
+    """An array of whole numbers as one folded constant."""
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+
+
+def _passed(value: Column, bounds: list[int]) -> Column:
+    """How many of the falling bounds are at or above value, by bisection."""
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    cuts = _constant(bounds)
+    go = lambda at, step: F.when((at + step <= len(bounds)) & (F.get(cuts, at + step - 1) >= value), at + step).otherwise(at)
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), go) if steps else F.lit(0)
+
+
 def edited_fingerprints(docs: DataFrame, width: int | None = None) -> DataFrame:
     """Fingerprint each whole text of documents and its edited text, and compare it with the edited and the next one.
 
@@ -165,20 +179,13 @@ def edited_fingerprints(docs: DataFrame, width: int | None = None) -> DataFrame:
     bounds = source.select(F.percentile_approx("doc_id", [i / width for i in range(1, width)], 10_000)).first()[0] if width > 1 else []
     bounds = sorted(set(bounds or []), reverse=True)
     # Ids above the highest bound are range 0; each bound passed is one range further; no id is the last range of all.
-    place = F.lit(len(bounds) + 1)
-    if bounds:
-        cuts = F.array(*[F.lit(b) for b in bounds])
-        place = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(F.size(F.filter(cuts, lambda b: b >= F.col("doc_id"))))
-    placed = source.withColumn("range", place.cast("int"))
+    placed = source.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(_passed(F.col("doc_id"), bounds)))
     heads = {r["range"]: r["top"] for r in placed.groupBy("range").agg(F.max("doc_id").alias("top")).collect()}
     present = sorted(heads)
     before = {p: present[i - 1] for i, p in enumerate(present)}
-    helper = None
-    for p in present:
-        hit = (F.col("range") == p) & F.col("doc_id").eqNullSafe(F.lit(heads[p]))
-        helper = F.when(hit, before[p]) if helper is None else helper.when(hit, before[p])
-    if helper is None:
-        helper = F.lit(None)
+    # Looked up by range: its highest id, and the range before it (the last one for the first).
+    by_range = lambda found: _constant([found.get(p) for p in range(len(bounds) + 2)])
+    helper = F.when(F.col("doc_id").eqNullSafe(F.get(by_range(heads), F.col("range"))), F.get(by_range(before), F.col("range")))
     dealt = placed.select("doc_id", "t", F.explode(F.filter(F.array(F.struct(F.col("range").alias("at"), F.lit(False).alias("extra")), F.struct(helper.cast("int").alias("at"), F.lit(True).alias("extra"))), lambda s: s["at"].isNotNull())).alias("s")).select("s.at", "s.extra", "doc_id", "t")
     # Each range is a partition of its own; hashing them would put several into one.
     sorted_ = dealt.repartitionById(len(bounds) + 2, "at").sortWithinPartitions("at", "extra", F.col("doc_id").desc_nulls_last(), "t")
