@@ -103,7 +103,7 @@ def by_position(df: DataFrame, at: Column, *ties: str) -> DataFrame:
     position come last, dealt by hash to as many partitions again; ties names the columns that order equal positions."""
     width = shuffle_width(df.sparkSession)
     late = F.lit(width) + F.pmod(F.xxhash64(*ties), F.lit(width)) if ties else F.lit(width - 1)
-    place = F.coalesce(F.least(F.lit(width - 1), F.floor(at * width)), late).cast("int")
+    place = F.when(at.isNull(), late).otherwise(F.least(F.lit(width - 1), F.floor(at * width))).cast("int")
     return df.repartitionById(width * 2 if ties else width, place).sortWithinPartitions(at.asc_nulls_last(), *ties)
 
 
