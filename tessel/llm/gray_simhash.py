@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm.components import connected
-from tessel.llm.shared import cut, shuffle_width
+from tessel.llm.shared import cut, maybe_in, shuffle_width
 
 WORDS = 4
 DISTANCE = 4
@@ -261,8 +261,10 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
 
     Rows that share a key are one document, of which one row stays; rows without a key count as one document too.
     """
-    found = near_duplicates(docs, text, key)
-    # A plain key for nulls, so that the join and the choice of one row need the same shuffle.
     plain = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
-    kept = found.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(plain(F.col(key)).alias("_k")).distinct()
-    return docs.withColumn("_k", plain(docs[key])).join(kept, "_k", "left_semi").dropDuplicates(["_k"]).drop("_k")
+    found = cut(near_duplicates(docs, text, key).select(plain(F.col(key)).alias("_k"), F.col(key).eqNullSafe(F.col("component_id")).alias("stays")), "near-duplicates")
+    # A key that goes, or that several rows share; the rows of all other keys stay without a shuffle.
+    touched = cut(found.groupBy("_k").agg(F.bool_or("stays").alias("stays"), F.count("*").alias("n")).filter("NOT stays OR n > 1").select("_k", "stays"), "touched-keys")
+    marked = maybe_in(docs.withColumn("_k", plain(docs[key])), touched, "_k", "_touched")
+    judged = marked.filter("_touched").join(touched, "_k", "left").filter("stays IS NULL OR stays").dropDuplicates(["_k"])
+    return judged.select(*docs.columns).union(marked.filter("NOT _touched").select(*docs.columns))

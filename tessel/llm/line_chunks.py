@@ -14,13 +14,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.shared import cut
+from tessel.llm.shared import cut, maybe_in
 
 SPACING = 3
-#: Bits of the filter that keeps texts out of a shuffle where they have no part in it: at most 2 MB, whatever the corpus.
-#: Once it is full it lets all texts through, which costs time and changes nothing.
-FILTER_BITS, FILTER_ROW = 1 << 24, 1 << 15
-
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     """then(value) with value computed once."""
@@ -47,18 +43,6 @@ def chunks(text: Column) -> Column:
     return F.when(text.isNotNull(), _let(F.split(text, "\n", -1), bodies))
 
 
-def _maybe_in(docs: DataFrame, keys: DataFrame, key: str, name: str) -> DataFrame:
-    """docs with a boolean column: false only where the row's key is surely not among keys (one column, key)."""
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    rows = keys.select(bit(F.col(key)).alias("b")).select(F.floor(F.col("b") / FILTER_ROW).alias("_row"), (F.col("b") % FILTER_ROW).alias("at"))
-    bitmap = rows.groupBy("_row").agg(F.bitmap_construct_agg("at").alias("_bits"))
-    joined = docs.withColumn("_row", F.floor(bit(docs[key]) / FILTER_ROW)).join(F.broadcast(bitmap), "_row", "left")
-    at = bit(docs[key]) % FILTER_ROW
-    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    there = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
-    return joined.withColumn(name, F.col("_bits").isNotNull() & there).drop("_row", "_bits")
-
-
 def repeated_chunks(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(_k, h, owner, body): for each document the repeated chunks it has, with their owner's id and bytes."""
     several = lambda c: F.filter(chunks(c), lambda x: x["lines"] >= 2)
@@ -68,7 +52,7 @@ def repeated_chunks(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     repeated = cut(counted.filter("times > 1 AND owner IS NOT NULL").select("h", "owner"), "repeated-chunks")
     owned = repeated.groupBy("owner").agg(F.collect_set("h").alias("hs"))
     texts = docs.select(F.col(f"`{key}`").alias("owner"), F.col(f"`{text}`").alias("t"))
-    texts = _maybe_in(texts, repeated.select("owner"), "owner", "_owns").filter("_owns").drop("_owns")
+    texts = maybe_in(texts, repeated.select("owner"), "owner", "_owns").filter("_owns").drop("_owns")
     bodies = texts.join(owned, "owner").select("owner", F.explode(F.filter(several(F.col("t")), lambda x: F.array_contains("hs", x["h"]))).alias("c")).groupBy(F.col("c.h").alias("h")).agg(F.min("c.body").alias("body"))
     known = cut(repeated.join(bodies, "h"), "chunk-bodies")
     return seen.distinct().join(known, "h")
@@ -84,7 +68,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     plain = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
     found = repeated_chunks(docs, text, key).groupBy("_k").agg(F.collect_list(F.struct("h", "owner", "body")).alias("_seen"))
     found = cut(found.select(plain(F.col("_k")).alias("_key"), "_seen"), "chunks-by-document")
-    marked = _maybe_in(docs.withColumn("_key", plain(docs[key])), found.select("_key"), "_key", "_has")
+    marked = maybe_in(docs.withColumn("_key", plain(docs[key])), found.select("_key"), "_key", "_has")
     # Documents without repeated chunks stay where they are; the others meet theirs.
     joined = marked.filter("_has").join(found, "_key", "left").unionByName(marked.filter("NOT _has"), allowMissingColumns=True)
     own = F.col(f"`{key}`")

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from tessel.sources.storage import cut, storage_root, sweep
 
-__all__ = ["WORD", "bit_mix", "cut", "id_remainder", "read_table", "sample_order", "shuffle_width", "storage_root", "sweep"]
+__all__ = ["WORD", "bit_mix", "cut", "id_remainder", "maybe_in", "read_table", "sample_order", "shuffle_width", "storage_root", "sweep"]
 
 #: A word is a maximal run of characters other than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bits of the filter that keeps texts out of a shuffle where they have no part in it: at most 2 MB, whatever the corpus.
+#: Once it is full it lets all texts through, which costs time and changes nothing.
+FILTER_BITS, FILTER_ROW = 1 << 24, 1 << 15
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -31,6 +34,18 @@ def sample_order(column: Column, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), column)
 
 
+def maybe_in(docs: DataFrame, keys: DataFrame, key: str, name: str) -> DataFrame:
+    """docs with a boolean column: false only where the row's key is surely not among keys (one column, key)."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    rows = keys.select(bit(F.col(key)).alias("b")).select(F.floor(F.col("b") / FILTER_ROW).alias("_row"), (F.col("b") % FILTER_ROW).alias("at"))
+    bitmap = rows.groupBy("_row").agg(F.bitmap_construct_agg("at").alias("_bits"))
+    joined = docs.withColumn("_row", F.floor(bit(docs[key]) / FILTER_ROW)).join(F.broadcast(bitmap), "_row", "left")
+    at = bit(docs[key]) % FILTER_ROW
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    there = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return joined.withColumn(name, F.col("_bits").isNotNull() & there).drop("_row", "_bits")
+
+
 def bit_mix(x):
     """Finaliser of splitmix64 over a numpy uint64 array."""
     import numpy as np
