@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Segments in each of the two generations a worker remembers. It bounds memory, not results.
-MEMO_SEGMENTS = 200_000
+MEMO_SEGMENTS = 120_000
 #: Segments longer than this are merged each time they occur and not remembered.
 MEMO_CHARS = 64
 #: Characters up to which segments merge together in arrays; a longer segment has a heap of its own.
