@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessel.llm.curriculum import training_stream
 from tessel.llm.gray_simhash import keep_one
-from tessel.llm.line_chunks import remove_repeats
+from tessel.llm.line_chunks import remove_passages
 from tessel.llm.piece_bpe import encode_documents
 from tessel.llm.shared import cut, read_table
 from tessel.llm.weak_quality import keep_good
@@ -18,8 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated multi-line chunks go from the texts; every document stays."""
-    return remove_repeats(docs).select(*docs.columns)
+    """Repeated runs of two lines or more go from the texts; every document stays."""
+    return remove_passages(docs).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

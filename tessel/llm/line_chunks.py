@@ -1,6 +1,8 @@
 """Line dedup by content-defined chunks, in built-in expressions only.
 
-Lines are hashed; a hash that rolls over each two neighbouring lines proposes a boundary after the second where it
+remove_passages, which the query and the pipeline run, takes chunks of two lines at every phase: each two neighbouring
+lines are a chunk, so whatever run of two lines or more stands in an earlier document is found to its last line, however
+short it is. remove_repeats takes disjoint chunks instead: lines are hashed; a hash that rolls over each two neighbouring lines proposes a boundary after the second where it
 divides by SPACING and the one before it doesn't, so boundaries follow content, not line numbers, and every chunk of a
 text with two lines or more has at least two. Chunk hashes are counted over the whole corpus. A repeated chunk stays in
 the document with the smallest id that has it, at its first place there; elsewhere it is removed once its bytes have
@@ -88,3 +90,56 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     done = joined.withColumn("_done", result)
     columns = [F.col("_done.text").alias(c) if c == text else F.length("_done.text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return done.select(*columns, F.col("_done.chunks").alias("removed_chunks"), F.col("_done.lines").alias("removed_lines"))
+
+
+def line_pairs(text: Column) -> Column:
+    """array<binary>: the SHA-256 of each two neighbouring lines, in order. Empty for a text of one line; null for null."""
+    pair = lambda a, b: F.unhex(F.sha2(F.concat(a, F.lit("\n"), b), 256))
+    return _let(F.split(text, "\n", -1), lambda x: F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), pair))
+
+
+def repeated_places(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(_id, at): for each key and text, as the digest that text_id makes, the places of the pairs of lines that go."""
+    seen = docs.select(F.col(f"`{key}`").alias("_k"), text_id(docs, text, key).alias("_id"), F.posexplode(line_pairs(F.col(f"`{text}`"))).alias("at", "h"))
+    seen = cut(seen, "line-pairs")
+    counted = seen.groupBy("h").agg(F.min("_k").alias("owner"), F.count("*").alias("times"))
+    repeated = counted.filter("times > 1 AND owner IS NOT NULL").select("h", "owner")
+    by_pair = seen.join(repeated, "h").groupBy("_id", "h").agg(F.collect_set("at").alias("places"), F.min("at").alias("first"), F.bool_or(F.col("_k").eqNullSafe(F.col("owner"))).alias("owns"))
+    goes = by_pair.select("_id", F.when(F.col("owns"), F.array_remove("places", F.col("first"))).otherwise(F.col("places")).alias("places")).filter(F.size("places") > 0)
+    return goes.groupBy("_id").agg(F.flatten(F.collect_list("places")).alias("at"))
+
+
+def text_id(docs: DataFrame, text: str, key: str) -> Column:
+    """A digest of key and text, null for a null text: rows that share both are judged alike."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("="), docs[key].cast("string")), F.lit("")), F.lit("\n"), docs[text])))
+
+
+def remove_passages(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs without the runs of two lines or more that repeat, with removed_chunks, their number, and removed_lines.
+
+    A line goes if it and a neighbour stand, byte for byte (by SHA-256) and in this order, in a document with a smaller
+    id or earlier in the same text. So of every line the first one stays: nothing is lost from the corpus but its
+    repeats. Blank lines are lines. Rows that share a key are one document and keep what it owns; a row without key
+    owns nothing. A null text stays null, a text of one line stays as it is, and a text of which all lines go becomes
+    empty. n_chars follows the text where docs has it.
+    """
+    found = cut(repeated_places(docs, text, key), "repeated-places")
+    marked = maybe_in(docs.withColumn("_id", text_id(docs, text, key)), found.select("_id"), "_id", "_has").withColumn("_has", F.col("_has") & F.col("_id").isNotNull())
+    # Documents without repeated lines stay where they are; the others meet their places.
+    joined = marked.filter("_has").join(found, "_id", "left").unionByName(marked.filter("NOT _has"), allowMissingColumns=True)
+    body, next_to = F.col(f"`{text}`"), lambda a: F.transform(a, lambda i: i + 1)
+
+    def judged(lines: Column) -> Column:
+        def without(goes: Column) -> Column:
+            # array_except is by hash, so the work is linear in the lines.
+            kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), goes)
+            runs = F.size(F.array_except(goes, next_to(goes)))
+            return _let(kept, lambda k: F.struct(F.array_join(F.transform(k, lambda i: F.get(lines, i)), "\n").alias("text"), runs.cast("long").alias("chunks"), (F.size(lines) - F.size(k)).cast("long").alias("lines")))
+
+        return _let(F.concat("at", next_to(F.col("at"))), without)
+
+    none = F.lit(0).cast("long")
+    result = F.when(F.col("at").isNull(), F.struct(body.alias("text"), none.alias("chunks"), none.alias("lines"))).otherwise(_let(F.split(body, "\n", -1), judged))
+    done = joined.withColumn("_done", result)
+    columns = [F.col("_done.text").alias(c) if c == text else F.length("_done.text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    return done.select(*columns, F.col("_done.chunks").alias("removed_chunks"), F.col("_done.lines").alias("removed_lines"))

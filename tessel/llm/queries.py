@@ -11,7 +11,7 @@ from tessel.llm import secret_scan
 from tessel.llm.curriculum import mix
 from tessel.llm.gray_simhash import near_duplicates
 from tessel.llm.language_gru import identify
-from tessel.llm.line_chunks import remove_repeats
+from tessel.llm.line_chunks import remove_passages
 from tessel.llm.ogg_media import ogg_columns
 from tessel.llm.order_minhash import edited_fingerprints
 from tessel.llm.piece_bpe import encode_documents
@@ -48,7 +48,7 @@ def op6_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars", "removed_chunks", "removed_lines")
+    return remove_passages(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars", "removed_chunks", "removed_lines")
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,9 +10,11 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tessel.llm import gray_simhash as G
 from tessel.llm import line_chunks as L
 from tessel.llm import order_minhash as M
+from tessel.llm import queries
 from tessel.llm.components import connected
 from tests.llm.conftest import multiset
 
@@ -197,3 +199,60 @@ def test_chunks_resist_shifts(spark):
     first = set(rows[0]["b"])
     assert len(first) > 6 and all(len(first & set(r["b"])) >= len(first) - 3 for r in rows)
     assert all("\n".join(r["b"]) == t for r, t in zip(rows, texts))
+
+
+def plain_passages(rows):
+    """(key, text, runs, lines) after removal, by pairs of lines one after the other."""
+    many = [(i, t.split("\n")) for i, t in rows if t is not None]
+    times = Counter(p for _, x in many for p in itertools.pairwise(x))
+    owner = {}
+    for i, x in sorted(((i, x) for i, x in many if i is not None), key=lambda r: r[0]):
+        for p in itertools.pairwise(x):
+            owner.setdefault(p, i)
+    out = []
+    for i, t in rows:
+        x, goes, seen = (t or "").split("\n"), set(), set()
+        for at, p in enumerate(itertools.pairwise(x)):
+            if times[p] > 1 and p in owner and (owner[p] != i or p in seen):
+                goes |= {at, at + 1}
+            seen.add(p)
+        kept = "\n".join(s for at, s in enumerate(x) if at not in goes)
+        out.append((i, None if t is None else kept, sum(at - 1 not in goes for at in goes), len(goes)))
+    return out
+
+
+def shared_runs():
+    """Documents of ten lines of their own; later ones also have a run of 2 to 6 lines from inside an earlier one."""
+    rows = [(i, [f"own line {j} of document {i}" for j in range(10)]) for i in range(40)]
+    for i in range(10, 40):
+        n, at = 2 + i % 5, i % 4 + 1
+        rows[i][1][at + 2 : at + 2] = rows[i - 10][1][at : at + n] if i < 20 else [f"own line {j} of document {i % 10}" for j in range(at, at + n)]
+    return [(i, "\n".join(x)) for i, x in rows]
+
+
+def test_every_shared_run_goes(spark, tmp_path):
+    rows = shared_runs()
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.QUERIES["op7_line_chunks"](spark, str(tmp_path)).collect()}
+    for i, t in rows:
+        own = "\n".join(x for x in t.split("\n") if x.endswith(f"document {i}"))
+        assert (got[i]["text"], got[i]["n_chars"], got[i]["removed_lines"]) == (own, len(own), t.count("\n") - own.count("\n")), i
+        assert got[i]["removed_chunks"] == (i >= 10)
+    assert multiset(corpus_pipeline.lines(spark, df, ""), "doc_id", "text") == sorted(((i, r["text"]) for i, r in got.items()), key=repr)
+
+
+def test_passages(spark, docs, empty, fixture_rows):
+    got = L.remove_passages(docs)
+    expected = plain_passages([r[:2] for r in fixture_rows])
+    assert multiset(got, "doc_id", "text", "removed_chunks", "removed_lines") == sorted(expected, key=repr)
+    assert got.columns == [*docs.columns, "removed_chunks", "removed_lines"] and L.remove_passages(empty).count() == 0
+    assert got.filter("text IS NOT NULL AND n_chars <> length(text)").count() == 0
+    # Few different lines, blank ones among them, in repeated keys and without key: runs overlap and repeat in a text.
+    rng = np.random.default_rng(5)
+    rows = [(None if k == 9 else int(k), "\n".join("" if x == 7 else f"line {x}" for x in rng.integers(0, 9, rng.integers(1, 14)))) for k in rng.integers(0, 10, 40)] + [(11, None), (None, None), (12, "")]
+    got = L.remove_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert multiset(got, "doc_id", "text", "removed_chunks", "removed_lines") == sorted(plain_passages(rows), key=repr)
+    # Each line that stands in a row with a key still stands in one.
+    left = {x for i, t, *_ in plain_passages(rows) if i is not None and t for x in t.split("\n")}
+    assert {x for i, t in rows if i is not None and t for x in t.split("\n") if x} <= left
