@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
 from tessel.llm.components import connected
 from tessel.llm.shared import cut, maybe_in, shuffle_width
@@ -50,18 +51,20 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, fp): fp is the fingerprint as a signed long."""
-    source = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
+def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", mark: Column | None = None) -> DataFrame:
+    """(key, fp), and _mark if there is one, a string: fp is the fingerprint as a signed long."""
+    more = [] if mark is None else ["_mark"]
+    source = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"), *[mark.alias(m) for m in more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 fp = np.array([fingerprint(t) for t in part.column("t").to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(fp)], ["k", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(fp), *map(part.column, more)], ["k", "fp", *more])
 
-    return source.mapInArrow(run, f"k {source.schema['k'].dataType.simpleString()}, fp long").withColumnRenamed("k", key)
+    schema = ", ".join([f"k {source.schema['k'].dataType.simpleString()}", "fp long", *[f"{m} string" for m in more]])
+    return source.mapInArrow(run, schema).withColumnRenamed("k", key)
 
 
 def _signed(mask: int) -> int:
@@ -248,23 +251,38 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     Other columns of docs are ignored.
     """
     own = cut(fingerprints(docs, text, key), "fingerprints")
-    codes = cut(own.groupBy("fp").agg(F.min(key).alias("least")), "codes")
+    named = _least_of_component(own, F.col(key)).withColumnRenamed("least", "component_id")
+    return own.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _least_of_component(own: DataFrame, value: Column) -> DataFrame:
+    """(fp, least): for each fingerprint of own the smallest value in its component."""
+    codes = cut(own.groupBy("fp").agg(F.min(value).alias("least")), "codes")
     roots = connected(links(codes.select("fp")))
     grouped = codes.join(roots, codes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = grouped.join(smallest, "root").select("fp", "component_id")
-    return own.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    smallest = grouped.groupBy("root").agg(F.min("least").alias("least"))
+    return grouped.select("fp", "root").join(smallest, "root").select("fp", "least")
+
+
+def _row_mark(docs: DataFrame) -> Column:
+    """A digest of 128 bits of a row's plain columns; rows with the same digest are equal in all of them."""
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, (ArrayType, MapType, StructType, VariantType))]
+    # A null leaves the hash as it was, so the hash is told where nulls are.
+    return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(n), *plain, *[c.isNull() for c in plain])), 16, "0") for n in (0, 1)])
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of docs that stay: one of each component, the one with the smallest key. Columns and texts as they are.
 
-    Rows that share a key are one document, of which one row stays; rows without a key count as one document too.
+    A component keeps one row whatever its rows' keys: of rows without key, or that share a key, each component's own
+    stays. A null key comes after all others; of a component's rows with the same key the smallest digest stays, so the
+    choice rests on the rows alone.
     """
-    plain = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
-    found = cut(near_duplicates(docs, text, key).select(plain(F.col(key)).alias("_k"), F.col(key).eqNullSafe(F.col("component_id")).alias("stays")), "near-duplicates")
-    # A key that goes, or that several rows share; the rows of all other keys stay without a shuffle.
-    touched = cut(found.groupBy("_k").agg(F.bool_or("stays").alias("stays"), F.count("*").alias("n")).filter("NOT stays OR n > 1").select("_k", "stays"), "touched-keys")
-    marked = maybe_in(docs.withColumn("_k", plain(docs[key])), touched, "_k", "_touched")
-    judged = marked.filter("_touched").join(touched, "_k", "left").filter("stays IS NULL OR stays").dropDuplicates(["_k"])
+    own = cut(fingerprints(docs, text, key, _row_mark(docs)), "fingerprints")
+    best = _least_of_component(own, F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "_mark"))
+    found = cut(own.join(best, "fp").select("_mark", (F.col("_mark") == F.col("least")["_mark"]).alias("stays")), "near-duplicates")
+    # Rows that go, or that stand several times; all other rows stay without a shuffle.
+    touched = cut(found.groupBy("_mark").agg(F.bool_or("stays").alias("stays"), F.count("*").alias("n")).filter("NOT stays OR n > 1").select("_mark", "stays"), "touched-rows")
+    marked = maybe_in(docs.withColumn("_mark", _row_mark(docs)), touched, "_mark", "_touched")
+    judged = marked.filter("_touched").join(touched, "_mark", "left").filter("stays IS NULL OR stays").dropDuplicates(["_mark"])
     return judged.select(*docs.columns).union(marked.filter("NOT _touched").select(*docs.columns))

@@ -256,3 +256,19 @@ def test_passages(spark, docs, empty, fixture_rows):
     # Each line that stands in a row with a key still stands in one.
     left = {x for i, t, *_ in plain_passages(rows) if i is not None and t for x in t.split("\n")}
     assert {x for i, t in rows if i is not None and t for x in t.split("\n") if x} <= left
+
+
+def test_every_component_keeps_a_row(spark):
+    text = lambda n: " ".join(f"word{n}x{j}" for j in range(40))
+    # Texts without key, a key with two texts one of which is another document's, and rows that are equal throughout.
+    rows = [(None, text(0), "a"), (None, text(1), "a"), (None, text(1), "b"), (None, text(2), "a"), (1, text(3), "a"), (2, text(3), "a"), (2, text(4), "a"), (5, text(5), "a"), (5, text(5), "a"), (6, None, "a"), (None, "", "a"), (7, text(2), "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    label = groups([simhash(t) for _, t, _ in rows])
+    least = {}
+    for (i, *_), g in zip(rows, label):
+        least[g] = min(least.get(g, (True, 0)), (i is None, i or 0))
+    got = G.keep_one(df.repartition(5)).collect()
+    component = {t: g for (_, t, _), g in zip(rows, label)}
+    assert sorted(component[r["text"]] for r in got) == sorted(least)
+    assert all((r["doc_id"] is None, r["doc_id"] or 0) == least[component[r["text"]]] and tuple(r) in rows for r in got)
+    assert multiset(G.keep_one(df.coalesce(1)), *df.columns) == sorted(map(tuple, got), key=repr)
