@@ -8,6 +8,7 @@ from pathlib import Path
 
 import pytest
 
+from tessel.operators import boolean as B
 from tessel.plans import catalog
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -42,3 +43,18 @@ def test_query_matches_sql(spark, name):
     near = lambda v: round(v, 6) if isinstance(v, float) else v
     plain = lambda rows: sorted(tuple(near(v) for v in r) for r in rows)
     assert plain(got.select(*columns).collect()) == plain(expected)
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="needs the driver's tables")
+def test_benchmark_batch_asks_every_text(spark):
+    duckdb = pytest.importorskip("duckdb")
+    with duckdb.connect() as con:
+        for t in ("documents", "benchmark"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+        expected = con.execute(catalog.ORACLES["benchmark_batch"]).fetchall()
+        texts = con.execute("SELECT item_id, text FROM benchmark").fetchall()
+    got = catalog.QUERIES["benchmark_batch"](spark, DATA).select("qid", "doc_id", "score", "rank").collect()
+    near = lambda rows: sorted((q, d, round(s, 5), k) for q, d, s, k in rows)
+    assert near(got) == near(expected)
+    plain = {i for i, t in texts if not B.is_boolean(B.lex(t))}
+    assert {r["qid"] for r in got} == plain and len(plain) > len(catalog.BATCH)
