@@ -158,7 +158,8 @@ class BiGRU:
 
 def sample_tokens(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", modulus: int = 3, held: int = 1) -> tuple[list[str], list[str]]:
     """Tokens and their languages from a bounded, repeatable sample outside the held-out fold, alike from each language."""
-    known = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{lang}`").alias("y")).filter("y IS NOT NULL").filter(id_remainder(F.col("k"), modulus) != held)
+    # A key counts once for a language, however many rows repeat it.
+    known = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{lang}`").alias("y")).filter("y IS NOT NULL").filter(id_remainder(F.col("k"), modulus) != held).distinct()
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     if not counts:
         return [], []
@@ -167,7 +168,7 @@ def sample_tokens(docs: DataFrame, text: str = "text", key: str = "doc_id", lang
     share = F.create_map(*[x for y, c in sorted(counts.items()) for x in (F.lit(y), F.lit(min(1.0, 3 * each / c)))])
     order = sample_order(F.col("k"), 31)
     near = known.filter(F.pmod(order, F.lit(1 << 20)) < share[F.col("y")] * (1 << 20))
-    chosen = near.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy(order, "k"))).filter(F.col("r") <= each).select("k", "y").distinct()
+    chosen = near.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy(order, "k"))).filter(F.col("r") <= each).select("k", "y")
     rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("y")).join(F.broadcast(chosen), ["k", "y"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessel.llm import language_gru as U
 from tessel.llm import toxicity as X
@@ -150,3 +151,13 @@ def test_language(docs, empty, fixture_rows):
     assert all(0 <= r["score"] <= 1 for r in rows)
     assert U.identify(empty).count() == 0
     assert {r["lang_pred"] for r in U.identify(docs.drop("lang").selectExpr("*", "cast(null AS string) AS lang")).collect()} == {"und"}
+
+
+def test_repeated_keys_dont_fill_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(U, "SAMPLE_DOCUMENTS", 4)
+    ids = spark.range(60).filter(U.id_remainder(F.col("id"), 3) != 1).orderBy(U.sample_order(F.col("id"), 31)).limit(4)
+    first, *others = [r["id"] for r in ids.collect()]
+    word = lambda i: "abcdefghij"[i % 10] * 3 + "klmnopqrst"[i // 10] * 3
+    rows = [(first, word(first), "en")] * 9 + [(i, word(i), "en") for i in others]
+    tokens, _ = U.sample_tokens(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert tokens == sorted(word(i) for i in (first, *others))
