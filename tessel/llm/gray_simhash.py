@@ -1,11 +1,13 @@
-"""SimHash near-duplicates by an index in Gray order.
-
-Fingerprints within DISTANCE bits agree in at least two of six blocks of bits, so each pair meets in one of fifteen
-tables keyed by two blocks. Within a key, fingerprints stand in the order of their Gray rank, where neighbours share
-long patterns. Over them stands a hierarchy of nodes: a node holds the bits that all its members share and that its
-parent doesn't hold already. A search adds up differing bits from the root down and leaves whole groups as soon as the
-sum is over DISTANCE, or once all of a group is known to be linked to the searcher. Only a spanning forest of the links
-leaves a task, never all pairs of a group. Keys with more than HOT members are keyed again by further bits.
+"""SimHash near-duplicates by a hierarchical index in Gray order.
+
+A table of the index has leading bits; fingerprints stand in it in the Gray order of those bits and then in the Gray
+order of all, where neighbours share long masked patterns. Over them stands a hierarchy of nodes: a node holds the bits
+that all its members share and that its parent doesn't hold already. A search adds up differing bits from the root down
+and leaves whole groups as soon as the sum is over DISTANCE, once a leading bit differs, or once all of a group is known
+to be linked to the searcher. Every link comes out of such a search, whatever the size of a group. Fingerprints within
+DISTANCE bits agree in at least two of six blocks of bits, so fifteen tables, each led by two blocks, find all pairs. A
+table is dealt over tasks by its leading bits. Only a spanning forest of the links leaves a task, never all pairs of a
+group. Leading bits that more than HOT fingerprints share are led by further bits.
 """
 
 from __future__ import annotations
@@ -20,15 +22,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
 from tessel.llm.components import connected
-from tessel.llm.shared import cut, maybe_in, shuffle_width
+from tessel.llm.shared import by_place, cut, join_hot, let_go, maybe_in, shuffle_width
 
 WORDS = 4
 DISTANCE = 4
 BLOCKS = (11, 11, 11, 11, 10, 10)
-#: Members of a node of the hierarchy, and of a key up to which neighbours are compared at all offsets instead.
-FAN, SMALL = 8, 48
-#: Members of a key above which it is keyed again by one of five parts of its other bits, at most DEEPER times.
+#: Members of a node of the hierarchy.
+FAN = 8
+#: Fingerprints with the same leading bits above which these are led by one of five parts of their other bits too, at
+#: most DEEPER times; then 42 bits or more lead, and a task holds 4 million different fingerprints at most.
 HOT, DEEPER = 20_000, 3
+#: Fingerprints that a task gathers for one search of its tables, and places of the hierarchy that a step looks at.
+TOGETHER, LOOKED_AT = 1 << 17, 1 << 19
 _U = np.uint64
 
 
@@ -58,10 +63,11 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", mark:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 fp = np.array([fingerprint(t) for t in part.column("t").to_pylist()], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(fp), *map(part.column, more)], ["k", "fp", *more])
+        let_go()
 
     schema = ", ".join([f"k {source.schema['k'].dataType.simpleString()}", "fp long", *[f"{m} string" for m in more]])
     return source.mapInArrow(run, schema).withColumnRenamed("k", key)
@@ -118,10 +124,11 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class GrayIndex:
-    """The hierarchy over one key's fingerprints, which come in Gray order."""
+    """The hierarchy over one table's fingerprints, which come in the table's order. leading: bits that have to agree."""
 
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
+    def __init__(self, codes: np.ndarray, leading: int = 0):
+        self.codes, self.leading = codes, _U(leading)
+        self.searches, self.compared = 0, 0
         levels = []  # from the leaves' parents to the root: shared bits, their values, first member of each node
         low, high, first = codes, codes, np.arange(len(codes))
         while len(first) > 1:
@@ -134,111 +141,117 @@ class GrayIndex:
             above = self.levels[i - 1][0][np.arange(len(shared)) // FAN] if i else np.zeros(1, np.uint64)
             self.own.append(shared & ~above)
 
+    def _search(self, start: int, stop: int, root: np.ndarray, spans: list, limit: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """Links of members start to stop with later members; None if the step would look at too many places."""
+        codes, n = self.codes, len(self.codes)
+        q, node, diff = np.arange(start, stop), np.zeros(stop - start, np.int64), np.zeros(stop - start, np.int64)
+        for depth, ((_, value, first), own, (last, low, high)) in enumerate(zip(self.levels, self.own, spans)):
+            if depth:
+                q, node, diff = np.repeat(q, FAN), (node[:, None] * FAN + np.arange(FAN)).ravel(), np.repeat(diff, FAN)
+                there = node < len(first)
+                q, node, diff = q[there], node[there], diff[there]
+            # Members after the searcher only; and none of a group that is linked to it as a whole.
+            stay = (last[node] > q + 1) & ~((low[node] == root[q]) & (high[node] == root[q]))
+            q, node, diff = q[stay], node[stay], diff[stay]
+            self.compared += len(q)
+            apart = (codes[q] ^ value[node]) & own[node]
+            diff = diff + np.bitwise_count(apart).astype(np.int64)
+            stay = (diff <= limit) & (apart & self.leading == 0)
+            q, node, diff = q[stay], node[stay], diff[stay]
+            if len(q) * FAN > LOOKED_AT and stop - start > 1:
+                return None
+        member = (node[:, None] * FAN + np.arange(FAN)).ravel()
+        q = np.repeat(q, FAN)
+        stay = (member < n) & (member > q)
+        q, member = q[stay], member[stay]
+        self.compared += len(q)
+        apart = codes[q] ^ codes[member]
+        near = (root[q] != root[member]) & (np.bitwise_count(apart) <= limit) & (apart & self.leading == 0)
+        return q[near], member[near]
+
     def links(self, limit: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
         """Edges of a spanning forest of the links between members, as positions."""
         n = len(self.codes)
         root = np.arange(n)
         out_u, out_v = [], []
-        start, width = 0, 16
-        while start < n:
+        start, width, spans = 0, 16, None
+        while start < n - 1:
+            if spans is None:  # where each node's members end, and the least and greatest of their roots
+                spans = [(np.append(first[1:], n), np.minimum.reduceat(root, first), np.maximum.reduceat(root, first)) for _, _, first in self.levels]
             stop = min(n, start + width)
-            q, node, diff = np.arange(start, stop), np.zeros(stop - start, np.int64), np.zeros(stop - start, np.int64)
-            for (_, value, first), own in zip(self.levels, self.own):
-                if first is not self.levels[0][2]:
-                    q, node, diff = np.repeat(q, FAN), (node[:, None] * FAN + np.arange(FAN)).ravel(), np.repeat(diff, FAN)
-                    there = node < len(first)
-                    q, node, diff = q[there], node[there], diff[there]
-                last = np.append(first[1:], n)
-                low, high = np.minimum.reduceat(root, first), np.maximum.reduceat(root, first)
-                diff = diff + np.bitwise_count((self.codes[q] ^ value[node]) & own[node]).astype(np.int64)
-                # Members after the searcher only; and none of a group that is linked to it as a whole.
-                stay = (diff <= limit) & (last[node] > q + 1) & ~((low[node] == root[q]) & (high[node] == root[q]))
-                q, node, diff = q[stay], node[stay], diff[stay]
-            member = (node[:, None] * FAN + np.arange(FAN)).ravel()
-            q = np.repeat(q, FAN)
-            stay = (member < n) & (member > q)
-            q, member = q[stay], member[stay]
-            near = (root[q] != root[member]) & (np.bitwise_count(self.codes[q] ^ self.codes[member]) <= limit)
-            if near.any():
-                u, v = forest(root[q[near]], root[member[near]])
+            self.searches += stop - start
+            found = self._search(start, stop, root, spans, limit)
+            if found is None:
+                width = max(1, width // 8)
+                continue
+            if len(found[0]):
+                u, v = forest(root[found[0]], root[found[1]])
                 out_u.append(u)
                 out_v.append(v)
                 jump = np.arange(n)
                 jump[u] = v
-                root = jump[root]
-            start, width = stop, min(512, width * 2)
+                root, spans = jump[root], None
+            start, width = stop, min(8192, width * 2)
         return (np.concatenate(out_u), np.concatenate(out_v)) if out_u else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _linked(mask: np.ndarray, value: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forest edges, as fingerprints, of rows sorted by mask, value and Gray rank."""
-    codes = gray_code(rank)
-    new = np.append(True, (mask[1:] != mask[:-1]) | (value[1:] != value[:-1]))
-    group = np.cumsum(new) - 1
-    sizes = np.bincount(group)
-    big = sizes > SMALL
-    us, vs = [], []
-    small = ~big[group]
-    c, g = codes[small], group[small]
-    for d in range(1, SMALL):
-        if len(c) <= d:
-            break
-        same = g[d:] == g[:-d]
-        if not same.any():
-            break
-        near = same & (np.bitwise_count(c[d:] ^ c[:-d]) <= DISTANCE)
-        us.append(c[:-d][near])
-        vs.append(c[d:][near])
-    starts = np.flatnonzero(new)
-    for i in np.flatnonzero(big):
-        own = codes[starts[i] : starts[i] + sizes[i]]
-        a, b = GrayIndex(own).links()
-        us.append(own[a])
-        vs.append(own[b])
-    u, v = (np.concatenate(us), np.concatenate(vs)) if us else (codes[:0], codes[:0])
-    u, v = forest(u.view(np.int64), v.view(np.int64)) if len(u) else (u.view(np.int64), v.view(np.int64))
-    return u, v
-
-
-def _find_links(keyed: DataFrame, width: int) -> DataFrame:
-    dealt = keyed.repartition(width, "mask", "value").sortWithinPartitions("mask", "value", "rank")
+def linked(mask: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forest edges, as fingerprints, of rows sorted by their tables' masks and then in the tables' order."""
+    codes, us, vs = gray_code(rank), [], []
+    edges = np.concatenate([[0], np.flatnonzero(mask[1:] != mask[:-1]) + 1, [len(mask)]])
+    for a, b in zip(edges[:-1], edges[1:]):
+        own = codes[a:b]
+        u, v = GrayIndex(own, int(mask[a]) & (1 << 64) - 1).links()
+        us.append(own[u])
+        vs.append(own[v])
+    u, v = np.concatenate(us).view(np.int64), np.concatenate(vs).view(np.int64)
+    return forest(u, v) if len(u) else (u, v)
+
+
+def _find_links(led: DataFrame, width: int) -> DataFrame:
+    dealt = led.repartition(width, "mask", "lead").sortWithinPartitions("mask", "lead", "rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 3
         for batch in batches:
-            held = [np.concatenate([h, batch.column(n).to_numpy()]) for h, n in zip(held, ("mask", "value", "rank"))]
-            if len(held[0]) < 1 << 18:
+            held = [np.concatenate([h, batch.column(n).to_numpy()]) for h, n in zip(held, ("mask", "lead", "rank"))]
+            if len(held[0]) < TOGETHER:
                 continue
-            # Whole keys only; the last one may go on in the next batch.
+            # Whole groups of leading bits only; the last one may go on in the next batch.
             ends = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
             done = ends[-1] + 1 if len(ends) else 0
             if done:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _linked(*[h[:done] for h in held])], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in linked(held[0][:done], held[2][:done])], ["u", "v"])
                 held = [h[done:] for h in held]
         if len(held[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _linked(*held)], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in linked(held[0], held[2])], ["u", "v"])
+        let_go()
 
     return dealt.mapInArrow(run, "u long, v long")
 
 
+def _led(codes: DataFrame, masks: Column) -> DataFrame:
+    """(mask, lead, rank, fp): each code in each table, by the Gray rank of its leading bits and that of all."""
+    spread = codes.select(F.explode(masks).alias("mask"), "rank", "fp")
+    return spread.select("mask", gray_rank(F.col("fp").bitwiseAND(F.col("mask"))).alias("lead"), "rank", "fp")
+
+
 def links(codes: DataFrame) -> DataFrame:
     """Forest edges (u, v) whose components are those of all pairs of codes (fp long, distinct) within DISTANCE bits."""
-    spark = codes.sparkSession
-    width = shuffle_width(spark)
-    masks = block_masks()
-    keyed = codes.select(F.explode(F.array(*[F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("value")) for m in masks])).alias("k"), gray_rank(F.col("fp")).alias("rank"), "fp").select("k.mask", "k.value", "rank", "fp")
-    found = None
+    width = shuffle_width(codes.sparkSession)
+    several = lambda ms: F.array(*[F.lit(_signed(m)) for m in ms])
+    masks, found = block_masks(), None
+    led = _led(codes.select("fp", gray_rank(F.col("fp")).alias("rank")), several(masks))
     for depth in range(DEEPER + 1):
-        hot = cut(keyed.groupBy("mask", "value").count().filter(F.col("count") > HOT).select("mask", "value"), "hot-keys") if depth < DEEPER else None
+        hot = cut(led.groupBy("mask", "lead").count().filter(F.col("count") > HOT).select("mask", "lead"), "hot-leads") if depth < DEEPER else None
         many = hot is not None and not hot.isEmpty()
-        part = _find_links(keyed.join(hot, ["mask", "value"], "left_anti") if many else keyed, width)
+        part = _find_links(led.join(hot, ["mask", "lead"], "left_anti") if many else led, width)
         found = part if found is None else found.union(part)
         if not many:
             break
         below = {m: deeper_masks(m) for m in masks}
-        again = keyed.join(hot, ["mask", "value"])
-        next_masks = F.create_map(*[x for m, ms in below.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(d)) for d in ms]))])
-        keyed = again.select(F.explode(next_masks[F.col("mask")]).alias("mask"), "rank", "fp").withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+        further = F.create_map(*[x for m, ms in below.items() for x in (F.lit(_signed(m)), several(ms))])
+        led = _led(led.join(hot, ["mask", "lead"]), further[F.col("mask")])
         masks = sorted({d for ms in below.values() for d in ms})
     return found
 
@@ -248,11 +261,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     A null or empty text, or one without words, has fingerprint zero, which links like any other. Rows that share a key
     are rows of one document; a null key keeps its row, and its component's smallest key is null only if all are.
-    Other columns of docs are ignored.
+    Texts are read whole, however long; repeated rows give repeated results, an empty table gives none. Other columns
+    of docs are ignored, whatever their names.
     """
     own = cut(fingerprints(docs, text, key), "fingerprints")
     named = _least_of_component(own, F.col(key)).withColumnRenamed("least", "component_id")
-    return own.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    joined = join_hot(own.withColumnRenamed(key, "k"), named, "fp", F.col("k"))
+    return joined.select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _least_of_component(own: DataFrame, value: Column) -> DataFrame:
@@ -261,7 +276,7 @@ def _least_of_component(own: DataFrame, value: Column) -> DataFrame:
     roots = connected(links(codes.select("fp")))
     grouped = codes.join(roots, codes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = grouped.groupBy("root").agg(F.min("least").alias("least"))
-    return grouped.select("fp", "root").join(smallest, "root").select("fp", "least")
+    return join_hot(grouped.select("fp", "root"), smallest, "root", F.col("fp")).select("fp", "least")
 
 
 def _row_mark(docs: DataFrame) -> Column:
@@ -276,13 +291,17 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
 
     A component keeps one row whatever its rows' keys: of rows without key, or that share a key, each component's own
     stays. A null key comes after all others; of a component's rows with the same key the smallest digest stays, so the
-    choice rests on the rows alone.
+    choice rests on the rows alone. Rows equal throughout are one component. Texts without words form one component.
+    Texts are read whole, however long; an empty table gives an empty one; columns may have any names.
     """
-    own = cut(fingerprints(docs, text, key, _row_mark(docs)), "fingerprints")
-    best = _least_of_component(own, F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "_mark"))
-    found = cut(own.join(best, "fp").select("_mark", (F.col("_mark") == F.col("least")["_mark"]).alias("stays")), "near-duplicates")
+    rows, (t, k) = by_place(docs, text, key)
+    rows = rows.withColumn("_mark", _row_mark(rows))
+    own = cut(fingerprints(rows, t, k, F.col("_mark")), "fingerprints")
+    best = _least_of_component(own, F.struct(F.col(k).isNull().alias("none"), F.col(k).alias("key"), "_mark"))
+    found = join_hot(own, best, "fp", F.col("_mark")).select("_mark", (F.col("_mark") == F.col("least")["_mark"]).alias("stays"))
     # Rows that go, or that stand several times; all other rows stay without a shuffle.
     touched = cut(found.groupBy("_mark").agg(F.bool_or("stays").alias("stays"), F.count("*").alias("n")).filter("NOT stays OR n > 1").select("_mark", "stays"), "touched-rows")
-    marked = maybe_in(docs.withColumn("_mark", _row_mark(docs)), touched, "_mark", "_touched")
-    judged = marked.filter("_touched").join(touched, "_mark", "left").filter("stays IS NULL OR stays").dropDuplicates(["_mark"])
-    return judged.select(*docs.columns).union(marked.filter("NOT _touched").select(*docs.columns))
+    marked = maybe_in(rows, touched, "_mark", "_touched")
+    judged = marked.filter("_touched").dropDuplicates(["_mark"]).join(touched, "_mark", "left").filter("stays IS NULL OR stays")
+    kept = judged.drop("_mark", "_touched", "stays").union(marked.filter("NOT _touched").drop("_mark", "_touched"))
+    return kept.toDF(*docs.columns)

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from tessel.sources.storage import cut, storage_root, sweep
 
-__all__ = ["WORD", "bit_mix", "cut", "id_remainder", "maybe_in", "read_table", "sample_order", "shuffle_width", "storage_root", "sweep"]
+__all__ = ["WORD", "bit_mix", "by_place", "cut", "id_remainder", "join_hot", "let_go", "maybe_in", "read_table", "sample_order", "shuffle_width", "storage_root", "sweep"]
 
 #: A word is a maximal run of characters other than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of the filter that keeps texts out of a shuffle where they have no part in it: at most 2 MB, whatever the corpus.
 #: Once it is full it lets all texts through, which costs time and changes nothing.
 FILTER_BITS, FILTER_ROW = 1 << 24, 1 << 15
+#: Parts over which a key's rows are dealt where one key may hold very many.
+PARTS = 128
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -46,6 +48,35 @@ def maybe_in(docs: DataFrame, keys: DataFrame, key: str, name: str) -> DataFrame
     return joined.withColumn(name, F.col("_bits").isNotNull() & there).drop("_row", "_bits")
 
 
+def by_place(docs: DataFrame, *wanted: str) -> tuple[DataFrame, list[str]]:
+    """docs with its columns named by their place, and the new names of those wanted. What an operator adds can then
+    clash with no column of docs, whatever its name; toDF(*docs.columns) gives the names back."""
+    places = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*places), [places[docs.columns.index(w)] for w in wanted]
+
+
+def join_hot(rows: DataFrame, found: DataFrame, key: str, by: Column) -> DataFrame:
+    """rows joined to found, which has one row per key. A key's rows are dealt over PARTS parts by the column by, and
+    found goes to each part that there is, so a key with a third of all rows is no single task."""
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(PARTS)))
+    spread = dealt.select(key, "_part").distinct().join(found, key)
+    return dealt.join(spread, [key, "_part"]).drop("_part")
+
+
+def let_go() -> None:
+    """Give memory that a finished task of a reused Python worker holds back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def bit_mix(x):
     """Finaliser of splitmix64 over a numpy uint64 array."""
     import numpy as np

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import re
 from collections import Counter
 
@@ -120,9 +121,8 @@ def test_index_finds_the_same_groups():
     assert [named.setdefault(int(x), i) for i, x in enumerate(back)] == [truth.index(t) for t in truth]
 
 
-@pytest.mark.parametrize(("small", "hot"), [(48, 20_000), (2, 20_000), (2, 5)])
-def test_links(spark, monkeypatch, small, hot):
-    monkeypatch.setattr(G, "SMALL", small)
+@pytest.mark.parametrize("hot", [20_000, 5])
+def test_links(spark, monkeypatch, hot):
     monkeypatch.setattr(G, "HOT", hot)
     codes = family(2, 4, 20, 60)
     signed = [x - (1 << 64) if x >> 63 else x for x in codes]
@@ -133,6 +133,68 @@ def test_links(spark, monkeypatch, small, hot):
     assert len(set(zip(mine, truth))) == len(set(mine)) == len(set(truth))
 
 
+def in_gray_order(codes):
+    """mask, lead, rank of every code in every table, in the tables' order."""
+    code = np.repeat(np.array(codes, np.uint64), len(G.block_masks()))
+    mask = np.tile(np.array(G.block_masks(), np.uint64), len(codes))
+
+    def rank(x):
+        for s in (1, 2, 4, 8, 16, 32):
+            x = x ^ (x >> np.uint64(s))
+        return (x ^ np.uint64(1 << 63)).view(np.int64)
+
+    lead, whole = rank(code & mask), rank(code)
+    order = np.lexsort((whole, lead, mask.view(np.int64)))
+    return mask[order].view(np.int64), whole[order]
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_every_link_comes_from_the_hierarchy(monkeypatch):
+    """All fingerprints of a driver table: the searches alone give the groups of brute force, with far fewer comparisons."""
+    import pyarrow.parquet as pq
+
+    made = []
+    index = G.GrayIndex
+    monkeypatch.setattr(G, "GrayIndex", lambda *a: made.append(index(*a)) or made[-1])
+    codes = sorted({G.fingerprint(t) for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()})
+    u, v = G.linked(*in_gray_order(codes))
+    n, at = len(codes), {x: i for i, x in enumerate(codes)}
+    a, b = (np.array([at[int(x)] for x in side.view(np.uint64)]) for side in (u, v))
+    label = np.arange(n)
+    child, root = G.forest(a, b)
+    label[child] = root
+    c = np.array(codes, np.uint64)
+    near = np.bitwise_count(c[:, None] ^ c[None, :]) <= G.DISTANCE
+    truth = np.arange(n)
+    child, root = G.forest(*np.nonzero(np.triu(near, 1)))
+    truth[child] = root
+    assert (label == truth).all() and (truth != np.arange(n)).any()
+    assert sum(len(x.codes) for x in made) == 15 * n and sum(x.searches for x in made) >= 15 * (n - 1)
+    assert sum(x.compared for x in made) < 15 * n * n / 2 / 8
+
+
+@pytest.mark.parametrize("leading", [0, G.block_masks()[3]])
+def test_search_of_dense_groups(monkeypatch, leading):
+    """Groups that fill the steps of a search, which then takes fewer searchers at a time."""
+    monkeypatch.setattr(G, "LOOKED_AT", 200)
+    codes = family(3, 3, 150, 20)
+    _, rank = in_gray_order(codes)
+    c = np.array(codes, np.uint64)
+    rank = c & np.uint64(leading or (1 << 64) - 1)
+    whole = c.copy()
+    for s in (1, 2, 4, 8, 16, 32):
+        rank, whole = rank ^ (rank >> np.uint64(s)), whole ^ (whole >> np.uint64(s))
+    c = c[np.lexsort((whole, rank))]
+    u, v = G.GrayIndex(c, leading).links()
+    apart = c[:, None] ^ c[None, :]
+    pairs = np.nonzero(np.triu((np.bitwise_count(apart) <= G.DISTANCE) & (apart & np.uint64(leading) == 0), 1))
+    mine, truth = np.arange(len(c)), np.arange(len(c))
+    for label, (x, y) in ((mine, (u, v)), (truth, pairs)):
+        child, root = G.forest(x, y)
+        label[child] = root
+    assert (mine == truth).all() and len(set(truth.tolist())) < len(c) / 2
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (41, 40), (200, 150)]
     got = {r["node"]: r["root"] for r in connected(spark.createDataFrame(edges, "u long, v long")).collect()}
