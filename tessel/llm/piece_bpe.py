@@ -3,12 +3,12 @@
 The text is normalised the way the model states (identity, a leading U+2581, spaces as U+2581), cut where no piece
 can cross, and each segment is merged by an agenda: the adjacent pair whose union has the best score goes first, the
 leftmost among equals. Symbols without a piece fall back to bytes. Each worker keeps the segments it has merged, up to
-MEMO_SEGMENTS, and checks every newly merged segment against the sentencepiece library before it uses it.
+MEMO_SEGMENTS. Every newly merged segment is held against the sentencepiece library; the agenda's ids stand either way,
+and a row says how many of its segments the library splits otherwise.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import heapq
 import re
@@ -16,9 +16,12 @@ from collections.abc import Iterator
 from itertools import chain
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessel.llm.shared import let_go
+
 SPACE = "▁"
 #: Segments in each of the two generations a worker remembers. It bounds memory, not results.
 MEMO_SEGMENTS = 120_000
@@ -27,14 +30,14 @@ MEMO_CHARS = 64
 #: Characters up to which segments merge together in arrays; a longer segment has a heap of its own.
 SHORT = 40
 #: Characters of text encoded at once in a worker.
-SLICE_CHARS = 1 << 21
+SLICE_CHARS = 1 << 17
 #: Short segments merged together; their arrays stay in the processor's cache.
 TOGETHER = 4096
 #: Segments that one call of the library checks as one text of lines.
 CHECKED = 32
 HASH_BITS, HASH_ODD = 18, -7046029254386353131
 
-_OUT = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+_OUT = ["n_tokens", "ids_sha256", "decoded_sha256", "unlike_library"]
 
 
 def default_model() -> str:
@@ -79,12 +82,13 @@ class PieceEncoder:
         self.size = len(proto.pieces)
         self._pair_table()
         self.ints = list(range(self.size))  # shared, so that remembered ids take no objects of their own
+        self.decimal = list(map(str, self.ints))
         self.of_char = np.full(0x110000, -1, np.int32)
         for p, (i, _) in self.pieces.items():
             if len(p) == 1:
                 self.of_char[ord(p)] = i
         self.memos: dict[str, tuple[dict, dict]] = {"plain": ({}, {}), "other": ({}, {})}
-        self.mismatches = 0
+        self.unlike: set[str] = set()
 
     def _pair_table(self) -> None:
         """Each split of a piece into two pieces, with the union's id and score, in a hash table of arrays."""
@@ -212,8 +216,8 @@ class PieceEncoder:
             offer(left, after[left])
         return [s for s in symbols if s]
 
-    def _checked(self, segments: list[str]) -> list[tuple[tuple[int, ...], str]]:
-        """Merge segments and hold each against the library; where they differ, the library's ids stand."""
+    def _checked(self, segments: list[str]) -> list[tuple[int, ...]]:
+        """Ids of each segment. A segment that the library splits otherwise is put down in unlike."""
         own, ints = self.merge_many(segments), self.ints
         if self.check:
             # Lines of several segments: the newlines keep each apart, and the library's own leading space is dropped.
@@ -226,23 +230,20 @@ class PieceEncoder:
                     flat += x
                     flat.append(line)
                 if flat[:-1] != ids[skip:]:
-                    for i in range(at, min(at + CHECKED, len(segments))):
-                        if own[i] != (ids := self.library.encode("\n" + segments[i])[skip:]):
-                            self.mismatches += 1
-                            own[i] = ids
-        return [(tuple([ints[i] for i in ids]), ",".join(map(str, ids))) for ids in own]
+                    self.unlike |= {s for s, x in zip(segments[at : at + CHECKED], own[at : at + CHECKED]) if x != self.library.encode("\n" + s)[skip:]}
+        return [tuple([ints[i] for i in ids]) for ids in own]
 
-    def encode_batch(self, texts: list[str]) -> list[tuple[list[int], str]]:
-        """Per text: its ids and the same ids in decimal, joined by commas.
+    def encode_batch(self, texts: list[str]) -> list[tuple[list[int], str, int]]:
+        """Per text: its ids, the same ids in decimal, joined by commas, and its segments that the library splits otherwise.
 
         Most texts have single spaces only; they are split at spaces and before newlines, and the key of a segment is
         the word, or the newline with the word after it. Other texts are cut by the pattern, keyed by segment.
         """
-        out: list[tuple[list[int], str] | None] = [None] * len(texts)
+        out: list[tuple[list[int], str, int] | None] = [None] * len(texts)
         plain, other = [], []
         for i, t in enumerate(texts):
             if not t:
-                out[i] = ([], "")
+                out[i] = ([], "", 0)
                 continue
             spread = t.replace("\n", " \n")
             if SPACE in t or "  " in spread or spread[0] == " " or spread[-1] == " ":
@@ -256,7 +257,7 @@ class PieceEncoder:
     def _look_up(self, cut: list[tuple[int, list[str]]], kind: str, out: list) -> None:
         if not cut:
             return
-        memo, older = self.memos[kind]
+        (memo, older), decimal = self.memos[kind], self.decimal
         used = set().union(*[c for _, c in cut])
         new = []
         for s in used.difference(memo):
@@ -273,11 +274,12 @@ class PieceEncoder:
             found = self._checked([SPACE + s for s in words] + [s[1:] for s in lines])
             line = self.library.encode("\n")[-1]
             memo.update(zip(words, found))
-            memo.update({s: ((line, *ids), f"{line},{text}") for s, (ids, text) in zip(lines, found[len(words) :])})
-            memo["\n"] = ((line,), str(line))
+            memo.update({s: (line, *ids) for s, ids in zip(lines, found[len(words) :])})
+            memo["\n"] = (line,)
         for i, segments in cut:
-            found = [memo[s] for s in segments]
-            out[i] = (list(chain.from_iterable([f[0] for f in found])), ",".join([f[1] for f in found]))
+            ids = list(chain.from_iterable([memo[s] for s in segments]))
+            unlike = sum((s if kind == "other" else s[1:] if s[0] == "\n" else SPACE + s) in self.unlike for s in segments) if self.unlike else 0
+            out[i] = (ids, ",".join([decimal[x] for x in ids]), unlike)
         for s in [s for s in new if len(s) > MEMO_CHARS]:
             del memo[s]
         if len(memo) > MEMO_SEGMENTS:
@@ -286,45 +288,46 @@ class PieceEncoder:
 
 def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about SLICE_CHARS of text each, at least one row."""
-    import numpy as np
-
-    size = np.diff(np.append(0, np.cumsum([len(x) if x else 0 for x in batch.column(column).to_pylist()])))
+    sizes = pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_pylist()
     start = at = 0
-    for i, n in enumerate(size):
+    for i, n in enumerate(sizes):
         if at and at + n > SLICE_CHARS:
             yield batch.slice(start, i - start)
             start, at = i, 0
-        at += int(n)
+        at += n
     if start < batch.num_rows:
         yield batch.slice(start)
 
 
 def encode_documents(docs: DataFrame, model_file: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
-    """Encode the whole text of each row; return the columns of keep with n_tokens, ids_sha256 and decoded_sha256.
+    """Encode the whole text of each row; return the columns of keep with n_tokens, ids_sha256, decoded_sha256 and
+    unlike_library, the number of segments that the library splits otherwise: 0, or the encoder is at fault.
 
-    with_ids adds ids (array of int) and decoded (string). A null text counts as empty: no ids, empty decoded text.
-    Repeated rows give repeated results; other columns of docs are ignored, whatever their names.
+    with_ids adds ids (array of int) and decoded (string). A null text counts as empty: no ids, empty decoded text. A
+    text is encoded whole, however long. Repeated rows give repeated results, an empty table none; other columns of docs
+    are ignored, whatever their names.
     """
     model = model_file or default_model()
     names = [f"k{i}" for i in range(len(keep))]
     source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     extra = "".join(f"{n} {source.schema[n].dataType.simpleString()}, " for n in names)
-    schema = extra + "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
+    schema = extra + "n_tokens long, ids_sha256 string, decoded_sha256 string, unlike_library long" + (", ids array<int>, decoded string" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # the memo's many tuples hold no cycles
         encoder = PieceEncoder(model)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
             for part in _slices(batch, "t"):
                 coded = encoder.encode_batch(part.column("t").to_pylist())
-                decoded = [encoder.library.decode(ids) if ids else "" for ids, _ in coded]
-                columns = [part.column(n) for n in names] + [pa.array([len(i) for i, _ in coded], pa.int64()), pa.array([sha(s) for _, s in coded]), pa.array([sha(d) for d in decoded])]
-                labels = [*names, *_OUT.names]
+                decoded = [encoder.library.decode(ids) if ids else "" for ids, _, _ in coded]
+                columns = [part.column(n) for n in names] + [pa.array([len(i) for i, _, _ in coded], pa.int64()), pa.array([sha(s) for _, s, _ in coded]), pa.array([sha(d) for d in decoded]), pa.array([u for _, _, u in coded], pa.int64())]
+                labels = [*names, *_OUT]
                 if with_ids:
-                    columns += [pa.array([i for i, _ in coded], pa.list_(pa.int32())), pa.array(decoded)]
+                    columns += [pa.array([i for i, _, _ in coded], pa.list_(pa.int32())), pa.array(decoded)]
                     labels += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, labels)
+        del encoder
+        let_go()
 
     out = source.mapInArrow(run, schema)
     return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], *[c for c in out.columns if c not in names])

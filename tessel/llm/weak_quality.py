@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.shared import sample_order
+from tessel.llm.shared import let_go, sample_order
 
 #: Rows whose posteriors train the scorer at most.
 SAMPLE_ROWS = 4000
@@ -124,7 +124,7 @@ def _shape(kind: bytes) -> str:
     for a, b in zip(kind, kind[1:]):
         if a != b:
             out += chr(b)
-    return out[:6]
+    return out
 
 
 def features(stats: dict[str, float], kinds: Counter, memo: dict[bytes, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -178,13 +178,15 @@ def _described(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def label_patterns(docs: DataFrame, text: str = "text", key: str = "doc_id") -> dict[str, int]:
-    """How many rows of docs each vote pattern has; at most three to the number of labellers."""
+    """How many rows of docs each vote pattern has; at most three to the number of labellers. Null and empty texts have
+    the pattern without votes; an empty table has no patterns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 seen.update(votes(statistics(t)[0]) for t in batch.slice(at, 512).column("t").to_pylist())
+        let_go()
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], ["votes", "rows"])
 
@@ -193,7 +195,8 @@ def label_patterns(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 
 def fit(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[Scorer, dict[str, float], np.ndarray]:
-    """The scorer, the posteriors by pattern and the labellers' accuracies."""
+    """The scorer, the posteriors by pattern and the labellers' accuracies. Rows without key are counted, not sampled; a
+    key that repeats is sampled once; without any row the scorer keeps every text."""
     accuracy, _, posterior = accuracies(label_patterns(docs, text, key))
     ids = docs.select(F.col(f"`{key}`").alias("k")).filter("k IS NOT NULL").distinct().orderBy(sample_order(F.col("k"), 23), "k").limit(SAMPLE_ROWS)
     rows = _described(docs, text, key).join(F.broadcast(ids), "k")
@@ -214,7 +217,7 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[Score
 def quality(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, score, keep, votes, posterior) for every row: score from 0 to 1, keep where it is at least KEEP.
 
-    A null or empty text has no votes and is judged by the scorer as an empty text. Equal texts are judged alike, and
+    Texts are read whole, however long; an empty table gives an empty one. A null or empty text has no votes and is judged by the scorer as an empty text. Equal texts are judged alike, and
     repeated rows, null keys and other columns change nothing for the rest.
     """
     model, posterior, _ = fit(docs, text, key)
@@ -231,18 +234,27 @@ def quality(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
                     score.append(round(model.score(*features(stats, kinds, memo)), 9))
                     voted.append(votes(stats))
                 yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(score, pa.float64()), pa.array([s >= KEEP for s in score], pa.bool_()), pa.array(voted, pa.string()), pa.array([posterior.get(v) for v in voted], pa.float64())], ["k", "score", "keep", "votes", "posterior"])
+        let_go()
 
     return source.mapInArrow(run, f"k {source.schema['k'].dataType.simpleString()}, score double, keep boolean, votes string, posterior double").withColumnRenamed("k", key)
 
 
 def keep_good(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of docs that the scorer keeps, columns as they are; one pass, without a join."""
+    """The rows of docs that the scorer keeps, columns as they are; one pass, without a join.
+
+    A null or empty text is judged as an empty text, a text however long as a whole, equal texts alike, and each
+    repeated row for itself. An empty table gives an empty one; columns may have any names.
+    """
     model, _, _ = fit(docs, text, key)
+    at_text = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, int] = {}
         for batch in batches:
-            good = [model.score(*features(*statistics(t), memo)) >= KEEP for t in batch.column(text).to_pylist()]
-            yield batch.filter(pa.array(good, pa.bool_()))
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                good = [model.score(*features(*statistics(t), memo)) >= KEEP for t in part.column(at_text).to_pylist()]
+                yield part.filter(pa.array(good, pa.bool_()))
+        let_go()
 
     return docs.mapInArrow(run, docs.schema)
