@@ -16,11 +16,10 @@ from collections.abc import Iterator
 from itertools import chain
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.shared import let_go
+from tessel.llm.shared import let_go, text_slices
 
 SPACE = "▁"
 #: Segments in each of the two generations a worker remembers. It bounds memory, not results.
@@ -286,19 +285,6 @@ class PieceEncoder:
             self.memos[kind] = ({}, memo)
 
 
-def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about SLICE_CHARS of text each, at least one row."""
-    sizes = pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_pylist()
-    start = at = 0
-    for i, n in enumerate(sizes):
-        if at and at + n > SLICE_CHARS:
-            yield batch.slice(start, i - start)
-            start, at = i, 0
-        at += n
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
 def encode_documents(docs: DataFrame, model_file: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
     """Encode the whole text of each row; return the columns of keep with n_tokens, ids_sha256, decoded_sha256 and
     unlike_library, the number of segments that the library splits otherwise: 0, or the encoder is at fault.
@@ -317,7 +303,7 @@ def encode_documents(docs: DataFrame, model_file: str | None = None, text: str =
         encoder = PieceEncoder(model)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
-            for part in _slices(batch, "t"):
+            for part in text_slices(batch, "t", SLICE_CHARS):
                 coded = encoder.encode_batch(part.column("t").to_pylist())
                 decoded = [encoder.library.decode(ids) if ids else "" for ids, _, _ in coded]
                 columns = [part.column(n) for n in names] + [pa.array([len(i) for i, _, _ in coded], pa.int64()), pa.array([sha(s) for _, s, _ in coded]), pa.array([sha(d) for d in decoded]), pa.array([u for _, _, u in coded], pa.int64())]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessel.sources.storage import cut, storage_root, sweep
 
-__all__ = ["WORD", "bit_mix", "by_place", "cut", "id_remainder", "join_hot", "let_go", "maybe_in", "read_table", "sample_order", "shuffle_width", "storage_root", "sweep"]
+__all__ = ["WORD", "bit_mix", "by_place", "cut", "id_remainder", "join_hot", "let_go", "maybe_in", "read_table", "sample_order", "shuffle_width", "storage_root", "sweep", "text_slices"]
 
 #: A word is a maximal run of characters other than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -77,6 +77,20 @@ def let_go() -> None:
         trim(0)
 
 
+def text_slices(batch, column: str, chars: int):
+    """Parts of an Arrow batch with about so many characters of text each, at least one row."""
+    import pyarrow.compute as pc
+
+    start = at = 0
+    for i, n in enumerate(pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_pylist()):
+        if at and at + n > chars:
+            yield batch.slice(start, i - start)
+            start, at = i, 0
+        at += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def bit_mix(x):
     """Finaliser of splitmix64 over a numpy uint64 array."""
     import numpy as np

@@ -132,15 +132,79 @@ def test_gru_gradients():
             assert abs((losses[0] - losses[1]) / 2e-5 - g[name][at]) < 1e-8
 
 
-def test_pieces_cover_tokens():
-    token = "ä" * 100
-    assert b"".join(p[1:-1] for p in U.pieces(token)) == token.encode() and all(len(p) <= U.PIECE for p in U.pieces(token))
-    m = U.BiGRU(2)
-    assert np.allclose(m.token_sums([token, "x"]).sum(axis=1), [sum(map(len, U.pieces(token))), 3], atol=1e-3)
+def plain_pass(m, text):
+    """Mean probabilities over all positions, one byte at a time; states start CONTEXT bytes before a window's edge."""
+    raw, h = text.lower().encode(), m.hidden
+    p = {k: v.astype(np.float64) for k, v in m.p.items()}
+    at = lambda i: raw[i] if 0 <= i < len(raw) else 32
+
+    def step(state, byte, d):
+        x, rec = p["x" + d][byte], state @ p["u" + d]
+        gate = np.clip((x[: 2 * h] + rec[: 2 * h]) / 4 + 0.5, 0, 1)
+        cand = np.tanh(x[2 * h :] + gate[h:] * (rec[2 * h :] + p["c" + d]))
+        return gate[:h] * state + (1 - gate[:h]) * cand
+
+    total = np.zeros(m.classes)
+    for start in range(0, len(raw), U.WINDOW):
+        stop = min(len(raw), start + U.WINDOW)
+        # The last window is filled up with spaces to a multiple of STEP.
+        edge = start + -(-(stop - start) // U.STEP) * U.STEP
+        forth, back, state = {}, {}, np.zeros(h)
+        for i in range(start - U.CONTEXT, stop):
+            forth[i] = state = step(state, at(i), "f")
+        state = np.zeros(h)
+        for i in range(edge + U.CONTEXT - 1, start - 1, -1):
+            back[i] = state = step(state, at(i), "b")
+        for i in range(start, stop):
+            z = np.concatenate([forth[i], back[i]]) @ p["o"] + p["ob"]
+            total += np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    return total / total.sum()
+
+
+def test_windows_cover_texts():
+    for n in (1, 63, 64, 65, 255, 256, 257, 1000):
+        text = "ab" * (n // 2) + "a" * (n % 2)
+        rows, own = U.windows(text)
+        assert own.sum() == n and b"".join(bytes(r[U.CONTEXT : U.CONTEXT + k]) for r, k in zip(rows, own)) == text.encode()
+        assert all(bytes(b[: U.CONTEXT]) == bytes(a[U.WINDOW : U.WINDOW + U.CONTEXT]) for a, b in zip(rows, rows[1:]))
 
 
-def test_language(docs, empty, fixture_rows):
-    got = U.identify(docs)
+@pytest.fixture(scope="module")
+def fitted(docs):
+    return U.fit(docs)
+
+
+@pytest.fixture(scope="module")
+def identified(docs, fitted):
+    whole, U.fit = U.fit, lambda *_: fitted
+    try:
+        return U.identify(docs).cache()
+    finally:
+        U.fit = whole
+
+
+def test_score_is_a_plain_forward_pass(fitted, identified, fixture_rows):
+    """Every row's language and score against one byte at a time over its whole text, long texts included."""
+    model, names = fitted
+    got = {r["doc_id"]: r for r in identified.collect()}
+    for i, t, *_ in [r for r in fixture_rows if r[0] in (0, 1, 2, 7, 30, 71, 75, 76, 77)]:
+        mean = plain_pass(model, t) if U._letter(t) else None
+        assert got[i]["score"] == pytest.approx(0 if mean is None else mean.max(), abs=2e-4)
+        assert got[i]["lang_pred"] == (U.UNKNOWN if mean is None else names[int(mean.argmax())]) or np.sort(mean)[-2] > mean.max() - 2e-4
+
+
+def test_context_is_enough(fitted, fixture_rows):
+    """A state that runs through the whole text gives almost the same: what is further back than CONTEXT hardly counts."""
+    model, _ = fitted
+    texts = [t for _, t, *_ in fixture_rows if t and len(t.encode()) > 600][:6]
+    for t in texts:
+        raw = np.frombuffer(b" " * U.CONTEXT + t.lower().encode() + b" " * U.CONTEXT, np.uint8)[None, :]
+        whole = model.window_sums(raw, np.array([raw.shape[1] - 2 * U.CONTEXT]))[0]
+        assert np.abs(whole / whole.sum() - model.probabilities([t])[0]).max() < 0.01
+
+
+def test_language(docs, empty, identified, fixture_rows):
+    got = identified
     rows = got.collect()
     assert multiset(got, "doc_id", "held_out") == sorted(((i, FOLD(i, 3) == 1) for i, *_ in fixture_rows), key=repr)
     assert {r["lang_pred"] for r in rows if r["doc_id"] in (72, 73, 74, 75)} == {"und"}
@@ -159,5 +223,5 @@ def test_repeated_keys_dont_fill_the_sample(spark, monkeypatch):
     first, *others = [r["id"] for r in ids.collect()]
     word = lambda i: "abcdefghij"[i % 10] * 3 + "klmnopqrst"[i // 10] * 3
     rows = [(first, word(first), "en")] * 9 + [(i, word(i), "en") for i in others]
-    tokens, _ = U.sample_tokens(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert tokens == sorted(word(i) for i in (first, *others))
+    sample = U.sample_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sample == sorted((word(i), "en") for i in (first, *others))
