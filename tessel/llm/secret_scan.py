@@ -9,12 +9,17 @@ ownership says that it is live.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.shared import cut
+from tessel.llm.shared import cut, join_hot
+
+
+#: Elements that a running value goes over at once, so that its cost is in proportion to an array's length.
+BLOCK = 256
 
 
 def _either_case(letters: str) -> str:
@@ -43,7 +48,8 @@ VARIETY = 0.3
 
 
 def find_spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
-    """array<struct<start, kind, end, value>>: matches leftmost first, in code points, end exclusive. Null text: none."""
+    """array<struct<start, kind, end, value>>: matches leftmost first, in code points, end exclusive. A null or empty text
+    has none; a text is searched whole, however long."""
     match = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else match
     pieces = F.split(text, pattern)
@@ -55,16 +61,54 @@ def find_spans(text: Column, kind: str, pattern: str, group: int, least: int) ->
     else:
         keep = lambda v: F.length(v) >= least
     # Lengths add up from the left: each match starts where the pieces and matches before it end.
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:string,end:int,value:string>>").alias("out"))
+    lengths = F.transform(whole, lambda p: F.struct(F.length(p["piece"]).alias("gap"), F.length(p["match"]).alias("own")))
 
-    def step(state: Column, pair: Column) -> Column:
-        begin = state["at"] + F.length(pair["piece"])
-        end = begin + F.length(pair["match"])
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), pair["value"].alias("value"))
-        return F.struct(end.alias("at"), F.when(keep(pair["value"]), F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
+    def placed(sizes: Column) -> Column:
+        before = running(F.transform(sizes, lambda z: z["gap"] + z["own"]), lambda a, b: a + b)
+        return F.zip_with(whole, F.zip_with(before, sizes, lambda a, z: F.struct((a + z["gap"]).alias("start"), (a + z["gap"] + z["own"]).alias("end"))), lambda p, at: F.struct(at["start"].alias("start"), F.lit(kind).alias("kind"), at["end"].alias("end"), p["value"].alias("value")))
 
     none = F.array().cast("array<struct<start:int,kind:string,end:int,value:string>>")
-    return F.when(text.rlike(pattern), F.aggregate(whole, start, step, lambda s: s["out"])).otherwise(none)
+    return F.when(text.rlike(pattern), F.filter(_let(lengths, placed), lambda p: keep(p["value"]))).otherwise(none)
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an array of int, the join of all before it, 0 for the first. Blocks are joined first, and
+    then each from its own start: appending to one long array would copy it for each element."""
+
+    def walk(block: Column, first: Column) -> Column:
+        start = F.struct(first.alias("now"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(block, start, lambda s, v: F.struct(join(s["now"], v).alias("now"), F.concat(s["out"], F.array(s["now"])).alias("out")), lambda s: s["out"])
+
+    def blocks(array: Column, size: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), ((F.size(array) - 1) / size).cast("int")), lambda i: F.slice(array, i * size + 1, size))
+
+    def over(cut: Column) -> Column:
+        totals = F.transform(cut, lambda b: F.aggregate(b, F.lit(0), join))
+        firsts = _let(totals, lambda t: walk(t, F.lit(0)))
+        return F.flatten(F.zip_with(cut, firsts, walk))
+
+    return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(_let(values, lambda v: _let(blocks(v, BLOCK), over)))
+
+
+def apart(spans: Column, others: Column) -> Column:
+    """The spans that overlap none of the others. Both are put in order, the others by start and the spans by end; the
+    furthest end that comes before a span's is then that of an other one which starts before the span ends."""
+    shape = "array<struct<at:int,other:int,start:int,kind:string,end:int,value:string>>"
+    mine = F.transform(spans, lambda s: F.struct(s["end"].alias("at"), F.lit(0).alias("other"), s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
+    theirs = F.transform(others, lambda s: F.struct(s["start"].alias("at"), F.lit(1).alias("other"), s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
+
+    def judged(order: Column) -> Column:
+        reach = running(F.transform(order, lambda s: F.when(s["other"] == 1, s["end"]).otherwise(F.lit(0))), lambda a, b: F.greatest(a, b))
+        kept = F.filter(F.zip_with(order, reach, lambda s, r: F.struct(s.alias("s"), r.alias("r"))), lambda x: (x["s"]["other"] == 0) & (x["r"] <= x["s"]["start"]))
+        return F.transform(kept, lambda x: F.struct(x["s"]["start"].alias("start"), x["s"]["kind"].alias("kind"), x["s"]["end"].alias("end"), x["s"]["value"].alias("value")))
+
+    # Without spans, or without others, nothing is to be judged.
+    return F.when((F.size(spans) == 0) | (F.size(others) == 0), spans).otherwise(_let(F.array_sort(F.concat(mine, theirs).cast(shape)), judged))
 
 
 def _rank(kind: Column) -> Column:
@@ -79,7 +123,8 @@ def _joined(spans: Column) -> Column:
 
 def ownership(candidates: DataFrame) -> DataFrame:
     """(secret, repositories, owners) of candidates (secret, repository, owner). Distinct pairs first, so a value that
-    fills a third of the rows is counted where it is read; a null repository or owner counts as one of its own."""
+    fills a third of the rows is counted where it is read; a null repository or owner counts as one of its own. An empty
+    table gives an empty one."""
     repos = candidates.select("secret", "repository").distinct().groupBy("secret").agg(F.count("*").alias("repositories"))
     owners = candidates.select("secret", "owner").distinct().groupBy("secret").agg(F.count("*").alias("owners"))
     return repos.join(owners, "secret")
@@ -89,23 +134,26 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", owner: str =
     """One row per row of docs: counts of base kinds, base_sha256, spans, n_live and n_example over all candidates.
 
     A null or empty text has no spans; base_sha256 is then that of the empty text. Rows that share a key count as one
-    repository, and equal texts have equal base spans; an added span counts where its value has one owner.
+    repository, a null owner is an owner, and equal texts have equal base spans; an added span counts where its value
+    has one owner. Texts are read whole, and the work on a text is in proportion to its length and matches. An empty
+    table gives an empty one; other columns of docs are ignored, whatever their names.
     """
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     found = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{owner}`").alias("owner"), *[find_spans(t, *k).alias(k[0]) for k in (*BASE, *ADDED)])
     base = F.concat(*[F.col(k[0]) for k in BASE])
-    apart = lambda spans, others: F.filter(spans, lambda a: ~F.exists(others, lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"])))
     # A span of an added kind that overlaps one of a kind before it is that span already.
     taken, added = base, []
     for kind, *_ in ADDED:
         added.append(apart(F.col(kind), taken))
         taken = F.concat(taken, F.col(kind))
     outside = F.concat(*added)
-    found = found.select("key", "owner", F.xxhash64("key", "owner", F.monotonically_increasing_id()).alias("row"), base.alias("base"), outside.alias("added"))
+    found = found.select("key", "owner", F.monotonically_increasing_id().alias("row"), base.alias("base"), outside.alias("added"))
+    # Written, so a row's number is the same for all that reads it.
     found = cut(found, "secret-spans")
     spread = found.select("row", "key", "owner", F.explode(F.concat("base", "added")).alias("s"))
     candidates = spread.select("row", F.col("key").alias("repository"), "owner", F.xxhash64("s.value").alias("secret"), "s.start", "s.kind", "s.end", (F.size(F.array_distinct(F.split("s.value", ""))) >= F.length("s.value") * VARIETY).alias("varied"))
-    known = candidates.join(ownership(candidates), "secret")
+    # A widely copied value is dealt over many tasks.
+    known = join_hot(candidates, ownership(candidates), "secret", F.col("row"))
     example = (F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repositories") >= EXAMPLE_REPOSITORIES)
     known = known.withColumn("live", ~example & F.col("varied"))
     live = known.groupBy("row").agg(F.sum(F.col("live").cast("long")).alias("n_live"), F.sum(example.cast("long")).alias("n_example"), F.collect_list(F.when(F.col("live") & ~F.col("kind").isin(*[k[0] for k in BASE]), F.struct("start", "kind", "end"))).alias("more"))

@@ -1,7 +1,9 @@
 """Mixing and secrets against plain Python; the pipeline stage by stage; registration."""
 
 import hashlib
+import random
 import re
+import time
 from types import SimpleNamespace
 
 import pytest
@@ -106,6 +108,33 @@ def test_secrets(spark, docs, empty):
     assert len(by) == len(rows) and S.scan(docs).count() == docs.count() and S.scan(empty).count() == 0
 
 
+def test_many_secrets_in_one_text(spark):
+    """Work in proportion to matches: tens of thousands of them in a text of megabytes, kinds that overlap among them."""
+    unit = "token=abcdef12 and ghp_Ab3dEf6hIj9kLm2nOp5qRs8tUv1w or password=ghp_Zz3dEf6hIj9kLm2nOp5qRs8tUv1w é " + "0f" * 12 + "\n"
+    text = "".join(unit.replace("12 ", f"{i:05d} ") for i in range(12_000))
+    began = time.time()
+    row = S.scan(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")).first()
+    assert time.time() - began < 60
+    spans = base_spans(text)
+    assert (row["n_assign"], row["n_hex"]) == (24_000, 12_000) and len(spans) == 36_000
+    assert row["base_sha256"] == hashlib.sha256(",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
+    # The service token that stands in an assignment is that assignment already; the other one is added.
+    added = [x for x in row["spans"].split(",") if x.startswith("service")]
+    assert len(added) == 12_000 and added[0] == "service:22:54"
+
+
+@pytest.mark.parametrize("block", [256, 2])
+def test_apart(spark, monkeypatch, block):
+    monkeypatch.setattr(S, "BLOCK", block)
+    rng = random.Random(8)
+    some = lambda n: [(a, "k", a + rng.randint(1, 9), "v") for a in rng.sample(range(60), n)]
+    rows = [(some(rng.randint(0, 9)), some(rng.randint(0, 9))) for _ in range(200)]
+    kind = "array<struct<start:int,kind:string,end:int,value:string>>"
+    got = spark.createDataFrame(rows, f"a {kind}, b {kind}").select("a", "b", S.apart(F.col("a"), F.col("b")).alias("c")).collect()
+    for r in got:
+        assert sorted(map(tuple, r["c"])) == sorted(tuple(x) for x in r["a"] if not any(x[0] < y[2] and y[0] < x[2] for y in r["b"]))
+
+
 def test_storage_root(spark, tmp_path, monkeypatch):
     told = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: f"file://{tmp_path}/shared/"))
     assert shared.storage_root(told) == f"file://{tmp_path}/shared"
