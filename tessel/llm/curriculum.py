@@ -9,12 +9,10 @@ Cumulative sums are taken in two steps (within slices of a source, then over sli
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.llm.shared import WORD, cut, shuffle_width
+from tessel.llm.shared import WORD, by_place, cut, shuffle_width
 
 #: Repeating weights of sources in code point order, null last.
 WEIGHTS = (5, 2, 1)
@@ -65,16 +63,20 @@ def position(due: Column, start: Column, end: Column) -> Column:
     return F.when(F.abs(slope) < 1e-12, due).otherwise((F.sqrt(start * start + 2 * slope * area) - start) / slope)
 
 
-def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", order: Callable[[Column], Column] | None = None) -> DataFrame:
-    """One row per row of docs: key, size, source_size, target, taken (words, repeats counted), source, times, positions.
+def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", ident: Column | None = None) -> DataFrame:
+    """One row per row of docs: key, size, source_size, target, taken (words, repeats counted), source, times, positions;
+    and ident, which says what row it is, if there is one.
 
     A document is taken 0, 1 or 2 times: in each pass over its source it is taken if the middle of its words stands
     below the target, so a source misses its target by half a document at most. positions holds the training position
     of each time it is taken. Order within a source: md5 of the key as text, then key, then size; rows equal in these
-    are interchangeable. A null text has no words and is never taken; null sources form one source, the last.
+    are interchangeable, or go by ident. A null text has no words and is never taken; null sources form one source, the
+    last. Words of a text are counted whole, however long; an empty table gives an empty one; other columns of docs are
+    ignored, whatever their names.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{key}`").alias("key"), words_in(F.col(f"`{text}`")).alias("size"), F.col(f"`{source}`").alias("source"))
+    rows = docs.select(F.col(f"`{key}`").alias("key"), words_in(F.col(f"`{text}`")).alias("size"), F.col(f"`{source}`").alias("source"), *([] if ident is None else [ident.alias("ident")]))
+    more = [] if ident is None else ["ident"]
     rows = cut(rows.withColumn("mark", F.md5(F.coalesce(F.col("key").cast("string"), F.lit("")))), "sizes")
     named = targets(rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size")))
     named = cut(named.withColumn("slices", F.greatest(F.lit(1), (F.col("n") / SLICE_ROWS).cast("long"))), "targets")
@@ -85,7 +87,7 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     sliced = joined.groupBy("slot", "slice").agg(F.sum("size").alias("words"))
     ahead = sliced.select("slot", "slice", (F.sum("words").over(Window.partitionBy("slot").orderBy("slice")) - F.col("words")).alias("ahead"))
     dealt = joined.join(ahead, ["slot", "slice"])
-    inside = Window.partitionBy("slot", "slice").orderBy("mark", F.col("key").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("slot", "slice").orderBy("mark", F.col("key").asc_nulls_last(), "size", *more).rowsBetween(Window.unboundedPreceding, 0)
     middle = F.col("ahead") + F.sum("size").over(inside) - F.col("size") / 2
     placed = dealt.withColumn("middle", middle)
     start, end = F.lit(None), F.lit(None)
@@ -94,8 +96,8 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     passes = F.filter(F.array(F.col("middle"), F.col("middle") + F.col("source_size")), lambda m: (m < F.col("target")) & (F.col("size") > 0))
     placed = placed.withColumn("positions", F.transform(passes, lambda m: position(m / F.col("target"), start.cast("double"), end.cast("double"))))
     out = placed.withColumn("times", F.size("positions").cast("long")).withColumn("taken", F.col("size") * F.col("times"))
-    out = cut(out.select("key", "size", "source_size", "target", "taken", "source", "times", "positions"), "mix")
-    return by_position(out.withColumnRenamed("key", key), F.try_element_at("positions", F.lit(1)), key)
+    out = cut(out.select("key", "size", "source_size", "target", "taken", "source", "times", "positions", *more), "mix")
+    return out if ident is not None else by_position(out.withColumnRenamed("key", key), F.try_element_at("positions", F.lit(1)), key)
 
 
 def by_position(df: DataFrame, at: Column, *ties: str) -> DataFrame:
@@ -110,15 +112,18 @@ def by_position(df: DataFrame, at: Column, *ties: str) -> DataFrame:
 def training_stream(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
     """The rows of docs as often as the mix takes them, range-sorted by training position; columns of docs only.
 
-    Rows that share a key are numbered by source, size and text on this side and by source and size in the mix, so each
-    meets its own positions.
+    A row meets its own positions by a digest of key, source and text, nulls told apart from all values; rows that share
+    all three are interchangeable and numbered. Null texts and texts without words aren't taken; null keys and sources
+    are as any other. Texts are moved whole, however long; an empty table gives an empty one; columns may have any names.
     """
-    plain = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
-    number = lambda *by: F.row_number().over(Window.partitionBy("_k").orderBy(*by))
-    mixed = mix(docs, text, key, source).select(plain(F.col(key)).alias("_k"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("positions").alias("_at"))
-    mixed = mixed.withColumn("_r", number(F.col("_s").asc_nulls_last(), "_n", F.size("_at").desc(), F.col("_at"))).filter(F.size("_at") > 0).select("_k", F.col("_r").alias("_m"), "_at")
-    ours = docs.withColumn("_k", plain(docs[key])).withColumn("_n", words_in(docs[text]))
-    ours = ours.withColumn("_r", number(F.col(f"`{source}`").asc_nulls_last(), "_n", F.col(f"`{text}`")))
-    # The numbers meet in a condition, not in the join's keys: both sides stay dealt by key alone.
-    taken = ours.join(mixed, "_k").filter(F.col("_r") - F.col("_m") == 0).withColumn("_at", F.explode("_at"))
-    return by_position(taken, F.col("_at")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, (t, k, s) = by_place(docs, text, key, source)
+    told = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    ident = F.unhex(F.md5(F.concat_ws("\n", F.md5(told(k)), F.md5(told(s)), F.md5(told(t)))))
+    number = F.row_number().over(Window.partitionBy("ident").orderBy("order"))
+    mixed = mix(rows, t, k, s, ident).filter(F.size("positions") > 0).select("ident", "positions", F.struct(F.size("positions"), "positions").alias("order"))
+    # Rows with one digest are alike in all that counts here, so any numbering pairs them with their positions.
+    mixed = mixed.withColumn("mine", number).drop("order")
+    ours = rows.withColumn("ident", ident).withColumn("order", F.monotonically_increasing_id()).withColumn("theirs", number).drop("order")
+    # The numbers meet in a condition, not in the join's keys: both sides stay dealt by digest alone.
+    taken = ours.join(mixed, "ident").filter(F.col("theirs") - F.col("mine") == 0).withColumn("at", F.explode("positions"))
+    return by_position(taken, F.col("at")).select(*rows.columns).toDF(*docs.columns)

@@ -1,12 +1,12 @@
 """Line dedup by content-defined chunks, in built-in expressions only.
 
-remove_passages, which the query and the pipeline run, takes chunks of two lines at every phase: each two neighbouring
-lines are a chunk, so whatever run of two lines or more stands in an earlier document is found to its last line, however
-short it is. remove_repeats takes disjoint chunks instead: lines are hashed; a hash that rolls over each two neighbouring lines proposes a boundary after the second where it
+Lines are hashed; a hash that rolls over each two neighbouring lines proposes a boundary after the second where it
 divides by SPACING and the one before it doesn't, so boundaries follow content, not line numbers, and every chunk of a
-text with two lines or more has at least two. Chunk hashes are counted over the whole corpus. A repeated chunk stays in
-the document with the smallest id that has it, at its first place there; elsewhere it is removed once its bytes have
-been compared with those of the chunk that stays.
+text with two lines or more has at least two. Chunks are counted over the whole corpus; one that stands in a document
+with a smaller id, or earlier in the same text, goes. A text that goes whole, as a copy does, is done with. In the others
+a repeated passage may be too short to hold a chunk, or its ends may lie inside one; an exact pass over each two
+neighbouring lines follows there, which finds every repeated run of two lines or more to its last line. Bytes are
+compared by their SHA-256, which two different passages don't share.
 """
 
 from __future__ import annotations
@@ -16,17 +16,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.shared import cut, maybe_in
+from tessel.llm.shared import by_place, cut, maybe_in
 
+#: A boundary stands at one of so many places.
 SPACING = 3
 
+
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     """then(value) with value computed once."""
     return F.transform(F.array(value), then)[0]
 
 
 def chunks(text: Column) -> Column:
-    """array<struct<h, body, lines>> of a text, in order. One chunk for a text of one line; null for null."""
+    """array<struct<h, at, lines>>: the chunks of two lines or more, by SHA-256, with their first line's number. Empty for
+    a text of one line; null for null."""
 
     def cuts(hashes: Column) -> Column:
         n = F.size(hashes)
@@ -35,61 +38,13 @@ def chunks(text: Column) -> Column:
         inner = F.filter(F.sequence(F.lit(1), n), lambda i: (i <= n - 2) & proposed(i) & ~proposed(i - 1))
         return F.concat(F.array(F.lit(0)), inner, F.array(n))
 
-    def bodies(lines: Column) -> Column:
-        def between(edges: Column) -> Column:
-            spans = F.zip_with(F.slice(edges, 1, F.size(edges) - 1), F.slice(edges, 2, F.size(edges) - 1), lambda a, b: F.struct(F.array_join(F.slice(lines, a + 1, b - a), "\n").alias("body"), (b - a).alias("lines")))
-            return F.transform(spans, lambda s: F.struct(F.xxhash64(s["body"], s["lines"]).alias("h"), s["body"].alias("body"), s["lines"].alias("lines")))
-
-        return _let(_let(F.transform(lines, lambda x: F.xxhash64(x)), cuts), between)
-
-    return F.when(text.isNotNull(), _let(F.split(text, "\n", -1), bodies))
-
-
-def repeated_chunks(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(_k, h, owner, body): for each document the repeated chunks it has, with their owner's id and bytes."""
-    several = lambda c: F.filter(chunks(c), lambda x: x["lines"] >= 2)
-    seen = docs.select(F.col(f"`{key}`").alias("_k"), F.explode(F.transform(several(F.col(f"`{text}`")), lambda x: x["h"])).alias("h"))
-    seen = cut(seen, "line-chunks")
-    counted = seen.groupBy("h").agg(F.min("_k").alias("owner"), F.count("*").alias("times"))
-    repeated = cut(counted.filter("times > 1 AND owner IS NOT NULL").select("h", "owner"), "repeated-chunks")
-    owned = repeated.groupBy("owner").agg(F.collect_set("h").alias("hs"))
-    texts = docs.select(F.col(f"`{key}`").alias("owner"), F.col(f"`{text}`").alias("t"))
-    texts = maybe_in(texts, repeated.select("owner"), "owner", "_owns").filter("_owns").drop("_owns")
-    bodies = texts.join(owned, "owner").select("owner", F.explode(F.filter(several(F.col("t")), lambda x: F.array_contains("hs", x["h"]))).alias("c")).groupBy(F.col("c.h").alias("h")).agg(F.min("c.body").alias("body"))
-    known = cut(repeated.join(bodies, "h"), "chunk-bodies")
-    return seen.distinct().join(known, "h")
+    def between(lines: Column) -> Column:
+        def spans(edges: Column) -> Column:
+            return F.zip_with(F.slice(edges, 1, F.size(edges) - 1), F.slice(edges, 2, F.size(edges) - 1), lambda a, b: F.struct(F.unhex(F.sha2(F.array_join(F.slice(lines, a + 1, b - a), "\n").cast("binary"), 256)).alias("h"), a.alias("at"), (b - a).alias("lines")))
 
+        return F.filter(_let(_let(F.transform(lines, lambda x: F.xxhash64(x)), cuts), spans), lambda c: c["lines"] >= 2)
 
-def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with repeated multi-line chunks removed, and removed_chunks and removed_lines.
-
-    Rows that share a key are one document and keep what it owns; a row without key owns nothing. A null text stays
-    null, a text of one line stays as it is, and a text of which all chunks go becomes empty. n_chars follows the text
-    where docs has it.
-    """
-    plain = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
-    found = repeated_chunks(docs, text, key).groupBy("_k").agg(F.collect_list(F.struct("h", "owner", "body")).alias("_seen"))
-    found = cut(found.select(plain(F.col("_k")).alias("_key"), "_seen"), "chunks-by-document")
-    marked = maybe_in(docs.withColumn("_key", plain(docs[key])), found.select("_key"), "_key", "_has")
-    # Documents without repeated chunks stay where they are; the others meet theirs.
-    joined = marked.filter("_has").join(found, "_key", "left").unionByName(marked.filter("NOT _has"), allowMissingColumns=True)
-    own = F.col(f"`{key}`")
-
-    def goes(parts: Column, c: Column, i: Column) -> Column:
-        first = F.get(parts, (F.array_position(F.transform(parts, lambda p: p["h"]), c["h"]) - 1).cast("int"))
-        again = (F.array_position(F.transform(parts, lambda p: p["h"]), c["h"]) - 1 < i) & (first["body"] == c["body"])
-        known = F.exists("_seen", lambda s: (s["h"] == c["h"]) & (s["body"] == c["body"]) & (~own.eqNullSafe(s["owner"]) | again))
-        return (c["lines"] >= 2) & known
-
-    def judged(parts: Column) -> Column:
-        marked = F.transform(parts, lambda c, i: F.struct(c["body"].alias("body"), c["lines"].alias("lines"), goes(parts, c, i).alias("goes")))
-        return _let(marked, lambda m: F.struct(F.array_join(F.transform(F.filter(m, lambda x: ~x["goes"]), lambda x: x["body"]), "\n").alias("text"), F.size(F.filter(m, lambda x: x["goes"])).cast("long").alias("chunks"), F.aggregate(F.filter(m, lambda x: x["goes"]), F.lit(0).cast("long"), lambda a, x: a + x["lines"]).alias("lines")))
-
-    body = F.col(f"`{text}`")
-    result = F.when(F.col("_seen").isNull() | body.isNull(), F.struct(body.alias("text"), F.lit(0).cast("long").alias("chunks"), F.lit(0).cast("long").alias("lines"))).otherwise(_let(chunks(body), judged))
-    done = joined.withColumn("_done", result)
-    columns = [F.col("_done.text").alias(c) if c == text else F.length("_done.text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return done.select(*columns, F.col("_done.chunks").alias("removed_chunks"), F.col("_done.lines").alias("removed_lines"))
+    return F.when(text.isNotNull(), _let(F.split(text, "\n", -1), between))
 
 
 def line_pairs(text: Column) -> Column:
@@ -98,15 +53,31 @@ def line_pairs(text: Column) -> Column:
     return _let(F.split(text, "\n", -1), lambda x: F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), pair))
 
 
-def repeated_places(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(_id, at): for each key and text, as the digest that text_id makes, the places of the pairs of lines that go."""
-    seen = docs.select(F.col(f"`{key}`").alias("_k"), text_id(docs, text, key).alias("_id"), F.posexplode(line_pairs(F.col(f"`{text}`"))).alias("at", "h"))
-    seen = cut(seen, "line-pairs")
+def _going(seen: DataFrame, label: str) -> DataFrame:
+    """(_id, h, lines, places) of seen (_k, _id, h, at, lines): where a text has what stands in a document with a smaller
+    id, or earlier in itself. What only rows without key have is owned by none, and stays."""
+    seen = cut(seen, label)
     counted = seen.groupBy("h").agg(F.min("_k").alias("owner"), F.count("*").alias("times"))
     repeated = counted.filter("times > 1 AND owner IS NOT NULL").select("h", "owner")
-    by_pair = seen.join(repeated, "h").groupBy("_id", "h").agg(F.collect_set("at").alias("places"), F.min("at").alias("first"), F.bool_or(F.col("_k").eqNullSafe(F.col("owner"))).alias("owns"))
-    goes = by_pair.select("_id", F.when(F.col("owns"), F.array_remove("places", F.col("first"))).otherwise(F.col("places")).alias("places")).filter(F.size("places") > 0)
-    return goes.groupBy("_id").agg(F.flatten(F.collect_list("places")).alias("at"))
+    by_text = seen.join(repeated, "h").groupBy("_id", "h").agg(F.collect_set("at").alias("places"), F.min("at").alias("first"), F.first("lines").alias("lines"), F.bool_or(F.col("_k").eqNullSafe(F.col("owner"))).alias("owns"))
+    return by_text.select("_id", "h", "lines", F.when(F.col("owns"), F.array_remove("places", F.col("first"))).otherwise(F.col("places")).alias("places")).filter(F.size("places") > 0)
+
+
+def going_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(_id, goes): for each key and text, as the digest that text_id makes, the numbers of the lines that go, maybe
+    repeated. A null text, or one of a single line, has none."""
+    rows = docs.select(F.col(f"`{key}`").alias("_k"), text_id(docs, text, key).alias("_id"), F.col(f"`{text}`").alias("t"))
+    size = F.size(F.split("t", "\n", -1))
+    spread = rows.select("_k", "_id", size.alias("n"), F.explode(chunks(F.col("t"))).alias("c")).select("_k", "_id", F.col("c.h").alias("h"), F.struct("c.at", "n").alias("at"), F.col("c.lines").alias("lines"))
+    by_chunk = _going(spread, "line-chunks").select("_id", "lines", F.explode("places").alias("p"))
+    by_chunk = by_chunk.select("_id", F.sequence("p.at", F.col("p.at") + F.col("lines") - 1).alias("goes"), F.col("p.n").alias("n"))
+    by_chunk = cut(by_chunk.groupBy("_id").agg(F.flatten(F.collect_list("goes")).alias("goes"), F.first("n").alias("n")), "lines-by-chunk")
+    whole = by_chunk.filter(F.size("goes") == F.col("n")).select("_id")
+    marked = maybe_in(rows, whole, "_id", "_whole")
+    left = marked.filter("NOT _whole").unionByName(marked.filter("_whole").join(whole, "_id", "left_anti")).drop("_whole")
+    by_pair = _going(left.select("_k", "_id", F.posexplode(line_pairs(F.col("t"))).alias("at", "h"), F.lit(2).alias("lines")), "line-pairs")
+    by_pair = by_pair.select("_id", F.concat("places", F.transform("places", lambda i: i + 1)).alias("goes"))
+    return by_chunk.select("_id", "goes").union(by_pair).groupBy("_id").agg(F.flatten(F.collect_list("goes")).alias("goes"))
 
 
 def text_id(docs: DataFrame, text: str, key: str) -> Column:
@@ -114,32 +85,37 @@ def text_id(docs: DataFrame, text: str, key: str) -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("="), docs[key].cast("string")), F.lit("")), F.lit("\n"), docs[text])))
 
 
-def remove_passages(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs without the runs of two lines or more that repeat, with removed_chunks, their number, and removed_lines.
+def remove_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", counts: bool = True) -> DataFrame:
+    """docs without the runs of two lines or more that repeat; with removed_chunks, their number, and removed_lines
+    unless counts is off.
 
     A line goes if it and a neighbour stand, byte for byte (by SHA-256) and in this order, in a document with a smaller
-    id or earlier in the same text. So of every line the first one stays: nothing is lost from the corpus but its
-    repeats. Blank lines are lines. Rows that share a key are one document and keep what it owns; a row without key
+    id or earlier in the same text; a document of which all chunks go gives others no reason to go. So of every line the
+    first one stays: nothing is lost from the corpus but its repeats. Blank lines are lines. Rows that share a key are one document and keep what it owns; a row without key
     owns nothing. A null text stays null, a text of one line stays as it is, and a text of which all lines go becomes
-    empty. n_chars follows the text where docs has it.
+    empty. A text however long is judged whole, in time that its lines are in proportion to; an empty table gives an
+    empty one. n_chars follows the text where docs has it. Columns of docs may have any names; one called like a count
+    gives way to the count.
     """
-    found = cut(repeated_places(docs, text, key), "repeated-places")
-    marked = maybe_in(docs.withColumn("_id", text_id(docs, text, key)), found.select("_id"), "_id", "_has").withColumn("_has", F.col("_has") & F.col("_id").isNotNull())
+    names = docs.columns
+    rows, (t, k) = by_place(docs, text, key)
+    found = cut(going_lines(rows, t, k), "going-lines")
+    marked = maybe_in(rows.withColumn("_id", text_id(rows, t, k)), found.select("_id"), "_id", "_has").withColumn("_has", F.col("_has") & F.col("_id").isNotNull())
     # Documents without repeated lines stay where they are; the others meet their places.
     joined = marked.filter("_has").join(found, "_id", "left").unionByName(marked.filter("NOT _has"), allowMissingColumns=True)
-    body, next_to = F.col(f"`{text}`"), lambda a: F.transform(a, lambda i: i + 1)
+    body = F.col(t)
 
     def judged(lines: Column) -> Column:
-        def without(goes: Column) -> Column:
-            # array_except is by hash, so the work is linear in the lines.
-            kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), goes)
-            runs = F.size(F.array_except(goes, next_to(goes)))
-            return _let(kept, lambda k: F.struct(F.array_join(F.transform(k, lambda i: F.get(lines, i)), "\n").alias("text"), runs.cast("long").alias("chunks"), (F.size(lines) - F.size(k)).cast("long").alias("lines")))
-
-        return _let(F.concat("at", next_to(F.col("at"))), without)
+        # array_except is by hash, so the work is linear in the lines.
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "goes")
+        runs = F.size(F.array_except("goes", F.transform("goes", lambda i: i + 1)))
+        return _let(kept, lambda k: F.struct(F.array_join(F.transform(k, lambda i: F.get(lines, i)), "\n").alias("text"), runs.cast("long").alias("chunks"), (F.size(lines) - F.size(k)).cast("long").alias("lines")))
 
     none = F.lit(0).cast("long")
-    result = F.when(F.col("at").isNull(), F.struct(body.alias("text"), none.alias("chunks"), none.alias("lines"))).otherwise(_let(F.split(body, "\n", -1), judged))
+    result = F.when(F.col("goes").isNull(), F.struct(body.alias("text"), none.alias("chunks"), none.alias("lines"))).otherwise(_let(F.split(body, "\n", -1), judged))
     done = joined.withColumn("_done", result)
-    columns = [F.col("_done.text").alias(c) if c == text else F.length("_done.text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return done.select(*columns, F.col("_done.chunks").alias("removed_chunks"), F.col("_done.lines").alias("removed_lines"))
+    told = {"removed_chunks": F.col("_done.chunks"), "removed_lines": F.col("_done.lines")} if counts else {}
+    own = [(place, name) for place, name in zip(rows.columns, names) if name not in told]
+    columns = [F.col("_done.text") if place == t else F.length("_done.text").cast("long") if name == "n_chars" else F.col(place) for place, name in own]
+    # Names that repeat in docs are given only at the end.
+    return done.select(*[c.alias(f"c{i}") for i, c in enumerate([*columns, *told.values()])]).toDF(*[name for _, name in own], *told)
