@@ -1,4 +1,8 @@
-"""From documents to encoded training data: five operators in turn, each over all that the one before kept."""
+"""From documents to encoded training data: five operators in turn, each over all that the one before kept.
+
+Each stage takes texts whole, however long, treats repeated rows each as a row, gives an empty table for an empty one, and
+minds no column but doc_id, text, lang and source, whatever the others are called; the operators' docstrings say more.
+"""
 
 from __future__ import annotations
 
@@ -13,27 +17,27 @@ from tessel.llm.weak_quality import keep_good
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; null and empty texts are judged as empty, equal texts alike."""
     return keep_good(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated runs of two lines or more go from the texts; every document stays."""
-    return remove_passages(docs).select(*docs.columns)
+    """Repeated runs of two lines or more go from the texts; every document stays, a null text as null."""
+    return remove_passages(docs, counts=False)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, the one with the smallest id; null ids come after others."""
     return keep_one(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in the order of training."""
+    """Documents as often as the mix takes them, in the order of training; a text without words isn't taken."""
     return training_stream(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document of the training order with its tokens counted and digested."""
+    """Each document of the training order with its tokens counted and digested; a null text counts as empty."""
     return encode_documents(docs, keep=("doc_id", "lang", "source"))
 
 
