@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.shared import by_place, cut, maybe_in
+from tessel.llm.shared import by_place, cut, join_hot, maybe_in
 
 #: A boundary stands at one of so many places.
 SPACING = 3
@@ -58,26 +58,38 @@ def _going(seen: DataFrame, label: str) -> DataFrame:
     id, or earlier in itself. What only rows without key have is owned by none, and stays."""
     seen = cut(seen, label)
     counted = seen.groupBy("h").agg(F.min("_k").alias("owner"), F.count("*").alias("times"))
-    repeated = counted.filter("times > 1 AND owner IS NOT NULL").select("h", "owner")
-    by_text = seen.join(repeated, "h").groupBy("_id", "h").agg(F.collect_set("at").alias("places"), F.min("at").alias("first"), F.first("lines").alias("lines"), F.bool_or(F.col("_k").eqNullSafe(F.col("owner"))).alias("owns"))
+    repeated = cut(counted.filter("times > 1 AND owner IS NOT NULL").select("h", "owner"), "repeated")
+    # What doesn't repeat stays out of the join; what very many texts have is dealt over many tasks.
+    near = maybe_in(seen, repeated, "h", "_again").filter("_again").drop("_again")
+    by_text = join_hot(near, repeated, "h", F.col("_id")).groupBy("_id", "h").agg(F.collect_set("at").alias("places"), F.min("at").alias("first"), F.first("lines").alias("lines"), F.bool_or(F.col("_k").eqNullSafe(F.col("owner"))).alias("owns"))
     return by_text.select("_id", "h", "lines", F.when(F.col("owns"), F.array_remove("places", F.col("first"))).otherwise(F.col("places")).alias("places")).filter(F.size("places") > 0)
 
 
+def _without(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows whose _id is none of ids. All but the bitmap's false hits stay where they are."""
+    marked = maybe_in(rows, ids, "_id", "_in")
+    false = cut(marked.filter("_in").select("_id").distinct().join(ids, "_id", "left_anti"), "false-hits")
+    again = maybe_in(marked.filter("_in").drop("_in"), false, "_id", "_false").filter("_false").drop("_false").join(false, "_id", "left_semi")
+    return marked.filter("NOT _in").drop("_in").unionByName(again)
+
+
 def going_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(_id, goes): for each key and text, as the digest that text_id makes, the numbers of the lines that go, maybe
-    repeated. A null text, or one of a single line, has none."""
+    """(_id, goes, whole): for each key and text, as the digest that text_id makes, the numbers of the lines that go,
+    maybe repeated, or only how many there are where all of them go by chunks. A null text, or one of a single line, has
+    none."""
     rows = docs.select(F.col(f"`{key}`").alias("_k"), text_id(docs, text, key).alias("_id"), F.col(f"`{text}`").alias("t"))
     size = F.size(F.split("t", "\n", -1))
     spread = rows.select("_k", "_id", size.alias("n"), F.explode(chunks(F.col("t"))).alias("c")).select("_k", "_id", F.col("c.h").alias("h"), F.struct("c.at", "n").alias("at"), F.col("c.lines").alias("lines"))
     by_chunk = _going(spread, "line-chunks").select("_id", "lines", F.explode("places").alias("p"))
     by_chunk = by_chunk.select("_id", F.sequence("p.at", F.col("p.at") + F.col("lines") - 1).alias("goes"), F.col("p.n").alias("n"))
     by_chunk = cut(by_chunk.groupBy("_id").agg(F.flatten(F.collect_list("goes")).alias("goes"), F.first("n").alias("n")), "lines-by-chunk")
-    whole = by_chunk.filter(F.size("goes") == F.col("n")).select("_id")
-    marked = maybe_in(rows, whole, "_id", "_whole")
-    left = marked.filter("NOT _whole").unionByName(marked.filter("_whole").join(whole, "_id", "left_anti")).drop("_whole")
+    whole = by_chunk.filter(F.size("goes") == F.col("n"))
+    left = _without(rows, whole.select("_id"))
     by_pair = _going(left.select("_k", "_id", F.posexplode(line_pairs(F.col("t"))).alias("at", "h"), F.lit(2).alias("lines")), "line-pairs")
     by_pair = by_pair.select("_id", F.concat("places", F.transform("places", lambda i: i + 1)).alias("goes"))
-    return by_chunk.select("_id", "goes").union(by_pair).groupBy("_id").agg(F.flatten(F.collect_list("goes")).alias("goes"))
+    parts = by_chunk.filter(F.size("goes") < F.col("n")).select("_id", "goes").union(by_pair)
+    parts = parts.groupBy("_id").agg(F.flatten(F.collect_list("goes")).alias("goes")).withColumn("whole", F.lit(False))
+    return parts.union(whole.select("_id", F.array("n").alias("goes"), F.lit(True).alias("whole")))
 
 
 def text_id(docs: DataFrame, text: str, key: str) -> Column:
@@ -100,9 +112,13 @@ def remove_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", co
     names = docs.columns
     rows, (t, k) = by_place(docs, text, key)
     found = cut(going_lines(rows, t, k), "going-lines")
-    marked = maybe_in(rows.withColumn("_id", text_id(rows, t, k)), found.select("_id"), "_id", "_has").withColumn("_has", F.col("_has") & F.col("_id").isNotNull())
-    # Documents without repeated lines stay where they are; the others meet their places.
-    joined = marked.filter("_has").join(found, "_id", "left").unionByName(marked.filter("NOT _has"), allowMissingColumns=True)
+    rows = rows.withColumn("_id", text_id(rows, t, k))
+    # Texts that go whole aren't moved; of the others only those with repeated lines meet these.
+    whole, parts = found.filter("whole").select("_id", F.get("goes", F.lit(0)).alias("n")), found.filter("NOT whole").select("_id", "goes")
+    empty = maybe_in(rows.drop(t), whole.select("_id"), "_id", "_in").filter("_in").drop("_in").join(whole, "_id")
+    empty = empty.select(*[F.lit("").alias(c) if c == t else F.col(c) for c in rows.columns], F.struct(F.lit("").alias("text"), F.lit(1).cast("long").alias("chunks"), F.col("n").cast("long").alias("lines")).alias("_done"))
+    marked = maybe_in(_without(rows, whole.select("_id")), parts.select("_id"), "_id", "_has").withColumn("_has", F.col("_has") & F.col("_id").isNotNull())
+    joined = marked.filter("_has").join(parts, "_id", "left").unionByName(marked.filter("NOT _has"), allowMissingColumns=True)
     body = F.col(t)
 
     def judged(lines: Column) -> Column:
@@ -113,7 +129,7 @@ def remove_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", co
 
     none = F.lit(0).cast("long")
     result = F.when(F.col("goes").isNull(), F.struct(body.alias("text"), none.alias("chunks"), none.alias("lines"))).otherwise(_let(F.split(body, "\n", -1), judged))
-    done = joined.withColumn("_done", result)
+    done = joined.withColumn("_done", result).select(*rows.columns, "_done").union(empty)
     told = {"removed_chunks": F.col("_done.chunks"), "removed_lines": F.col("_done.lines")} if counts else {}
     own = [(place, name) for place, name in zip(rows.columns, names) if name not in told]
     columns = [F.col("_done.text") if place == t else F.length("_done.text").cast("long") if name == "n_chars" else F.col(place) for place, name in own]
