@@ -20,7 +20,11 @@ WORDS = "[a-z]+(?:-[a-z]+)*|[а-я]+(?:-[а-я]+)*"
 WORDS_AND_NUMBERS = "[a-z][a-z0-9]*(?:-[a-z0-9]+)*|[а-я][а-я0-9]*(?:-[а-я0-9]+)*|[0-9][a-zа-я0-9]*(?:-[a-zа-я0-9]+)*"
 
 # Endings that the stemmer removes, longest first; at least three characters stay.
-ENDINGS = "иями ями ами ыми ими ого ему ому ее ие ые ое ей ий ый ая яя ою ею ую юю ам ям ах ях ом ем а я ы и о е у ю ь".split()
+ENDINGS = [
+    "иями", "ями", "ами", "ыми", "ими", "ого", "ему", "ому",
+    "ее", "ие", "ые", "ое", "ей", "ий", "ый", "ая", "яя", "ою", "ею", "ую", "юю", "ам", "ям", "ах", "ях", "ом", "ем",
+    "а", "я", "ы", "и", "о", "е", "у", "ю", "ь",
+]
 STEM = f"^(.{{3,}}?)(?:{'|'.join(ENDINGS)})$"
 
 # Titles with these words before the first colon are service pages.
@@ -77,6 +81,21 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACES, " "))
 
 
+# Patterns that must match what the cleaned texts are compared with, and what stands in their place.
+POST_MARKS = [(r"(?s)<code>.*?</code>", " [код] "), (r"(?s)<pre>.*?</pre>", " [блок кода] "), (r"<[^>]+>", "")]
+POST_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'")]
+MARKUP = [
+    (r"\{\{[^}]+\}\}", ""),
+    (r"(?iu)\[\[(?:Файл|File|Image):[^\]]+\]\]", ""),
+    (r"\[\[(?:[^|\]]*\|)?([^\]]+)\]\]", "$1"),
+    (r"\[https?://[^\]]+\]", ""),
+    (r"<[^>]+>", ""),
+    (r"'{2,}", ""),
+]
+#: Elements whose text is no text of the page, and those that hold code.
+UNSEEN, CODE = frozenset(("script", "style", "template")), frozenset(("pre", "code"))
+
+
 def _replaced(text: Column, *steps: tuple[str, str]) -> Column:
     for pattern, by in steps:
         text = F.regexp_replace(text, pattern, by)
@@ -85,15 +104,15 @@ def _replaced(text: Column, *steps: tuple[str, str]) -> Column:
 
 def clean_post(text: Column) -> Column:
     """Post markup to text: code and blocks become marks, tags go, five entities are decoded in turn."""
-    marked = _replaced(F.coalesce(text, F.lit("")), (r"(?s)<code>.*?</code>", " [код] "), (r"(?s)<pre>.*?</pre>", " [блок кода] "), (r"<[^>]+>", ""))
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'")):
+    marked = _replaced(F.coalesce(text, F.lit("")), *POST_MARKS)
+    for entity, char in POST_ENTITIES:
         marked = F.replace(marked, F.lit(entity), F.lit(char))
     return squeeze(marked)
 
 
 def clean_markup(text: Column) -> Column:
     """Encyclopedia markup to text, by the rules of the dump extractor."""
-    return squeeze(_replaced(F.coalesce(text, F.lit("")), (r"\{\{[^}]+\}\}", ""), (r"(?iu)\[\[(?:Файл|File|Image):[^\]]+\]\]", ""), (r"\[\[(?:[^|\]]*\|)?([^\]]+)\]\]", "$1"), (r"\[https?://[^\]]+\]", ""), (r"<[^>]+>", ""), (r"'{2,}", "")))
+    return squeeze(_replaced(F.coalesce(text, F.lit("")), *MARKUP))
 
 
 class _Text(HTMLParser):
@@ -115,10 +134,11 @@ class _Text(HTMLParser):
 
 
 def html_text(raw: str | None, keep_code: bool = False) -> str:
-    """Entities decoded, then the text of the markup, parts joined by spaces; pre and code left out unless kept."""
+    """Entities decoded, then the text of the markup, parts joined by spaces; scripts, styles and templates are left out,
+    and pre and code unless kept."""
     if not raw:
         return ""
-    parser = _Text(frozenset() if keep_code else frozenset(("pre", "code")))
+    parser = _Text(UNSEEN if keep_code else UNSEEN | CODE)
     parser.feed(html.unescape(raw))
     parser.close()
     return re.sub(r"\s+", " ", " ".join(p for p in parser.parts if p)).strip()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tessel.functions.text import clean_article, clean_html, clean_markup, clean_post, encode_url, is_service_page
+from tessel.operators.ordering import numbered_by_id
 
 # Addresses of articles and questions.
 WIKI_BASE = "https://ru.wikipedia.org/wiki/"
@@ -60,19 +63,60 @@ def first_by(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter("_r = 1").drop("_r")
 
 
-def new_rows(incoming: DataFrame, stored: DataFrame, key: str = "url") -> DataFrame:
-    """Incoming rows whose key isn't stored yet, one per key."""
-    return incoming.dropDuplicates([key]).join(stored.select(key), key, "left_anti")
+def new_rows(incoming: DataFrame, stored: DataFrame, key: str = "url", order: str | None = None) -> DataFrame:
+    """Incoming rows whose key isn't stored yet, one per key: the first by order, any where no order is stated."""
+    once = incoming.dropDuplicates([key]) if order is None else first_by(incoming, key, order)
+    return once.join(stored.select(key), key, "left_anti")
+
+
+def resumed(records: DataFrame, start_from: int, key: str = "doc_id") -> DataFrame:
+    """Records from an offset on, the first being 0, in the order of a whole-number key; offset says which each one is."""
+    return numbered_by_id(records, key, "offset").withColumn("offset", F.col("offset") - 1).filter(F.col("offset") >= max(0, start_from))
+
+
+def save_points(records: DataFrame, every: int) -> DataFrame:
+    """(saved, offset) of records with offset: after each so many records, and at the end, the offset to go on from."""
+    least = records.agg(F.min("offset").alias("least"))
+    point = F.floor((F.col("offset") - least.scalar()) / every) if every > 0 else F.lit(0)
+    return records.groupBy(point.alias("saved")).agg((F.max("offset") + 1).alias("offset"))
+
+
+def from_sources(docs: DataFrame, enabled: dict[str, bool], column: str = "source") -> DataFrame:
+    """Documents of the sources that are on; a source that isn't named is off, and so is none at all."""
+    return docs.filter(F.coalesce(F.col(column).isin(*[s for s, on in sorted(enabled.items()) if on]), F.lit(False)))
+
+
+def uniqueness(df: DataFrame, *keys: str) -> DataFrame:
+    """(key, rows, missing, repeated): for each column that has to be unique, the rows, those without a value, and those
+    beyond the first of their value. A column holds its contract if repeated is 0."""
+    parts = [df.groupBy(F.col(k).alias("v")).count().agg(F.coalesce(F.sum("count"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("count"))), F.lit(0)).alias("missing"), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("count") - 1)), F.lit(0)).alias("repeated")).select(F.lit(k).alias("key"), "rows", "missing", "repeated") for k in keys]
+    return reduce(DataFrame.union, parts)
+
+
+def require_unique(df: DataFrame, *keys: str) -> DataFrame:
+    """df, once its keys are known to be unique; ValueError names the ones that aren't."""
+    broken = [r["key"] for r in uniqueness(df, *keys).filter("repeated > 0").collect()]
+    if broken:
+        raise ValueError(f"not unique: {', '.join(broken)}")
+    return df
+
+
+def observed(df: DataFrame, name: str, **counters: Column) -> tuple[DataFrame, Observation]:
+    """df with counters that fill while it is written: rows processed, and those for which each condition holds."""
+    told = Observation(name)
+    return df.observe(told, F.count("*").alias("processed"), *[F.count_if(c).alias(n) for n, c in counters.items()]), told
 
 
 def clean_view(raw: DataFrame) -> DataFrame:
     return raw.drop("raw_html")
 
 
-def stale(df: DataFrame, before: float, missing: bool = False, column: str = "last_crawled_at") -> DataFrame:
-    """Rows last seen before a time; rows never seen too if missing is set."""
+def stale(df: DataFrame, before: float, missing: bool = False, column: str = "last_crawled_at", most: int | None = None, key: str = "url") -> DataFrame:
+    """Rows last seen before a time; rows never seen too if missing is set. most: so many of them in one run, those never
+    seen first, then the oldest, ties by key; each task keeps so many before they meet."""
     old = F.col(column) < F.lit(before)
-    return df.filter((F.col(column).isNull() | old) if missing else old)
+    found = df.filter((F.col(column).isNull() | old) if missing else old)
+    return found if most is None else found.orderBy(F.col(column).asc_nulls_first(), key).limit(most)
 
 
 def mode(stored: DataFrame, now: float, after_days: float) -> str | None:
@@ -82,6 +126,14 @@ def mode(stored: DataFrame, now: float, after_days: float) -> str | None:
     return None if stale(stored, now - after_days * 86_400).isEmpty() else "recrawl"
 
 
+def change_counts(stored: DataFrame, fetched: DataFrame, key: str = "url") -> DataFrame:
+    """One row: processed, updated, unchanged and failed, of the stored rows that were fetched again."""
+    fresh = fetched.dropDuplicates([key]).select(key, F.col("body").alias("_body"))
+    joined = stored.join(fresh, key)
+    differs = F.md5(F.col("_body")) != F.md5(F.coalesce("raw_html", F.lit("")))
+    return joined.agg(F.count("*").alias("processed"), F.count_if(differs).alias("updated"), F.count_if(~differs).alias("unchanged"), F.count_if(F.col("_body").isNull()).alias("failed"))
+
+
 def changed(stored: DataFrame, fetched: DataFrame, now: float, key: str = "url") -> DataFrame:
     """stored with raw_html and last_crawled_at of those rows set whose fetched body has another digest. Rows without
     a fetched body, or with an equal one, stay as they are."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessel.functions import vbyte
 from tessel.functions.text import DEFAULT, TokenOptions, display_title, tokens
+from tessel.sources.storage import cut
 
 
 def occurrences(docs: DataFrame, options: TokenOptions = DEFAULT, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -21,6 +22,11 @@ def postings(docs: DataFrame, options: TokenOptions = DEFAULT, positions: bool =
     return found.agg(tf, F.sort_array(F.collect_list("pos")).alias("positions")) if positions else found.agg(tf)
 
 
+def distinct_terms(docs: DataFrame, options: TokenOptions = DEFAULT, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, distinct_terms): how many different terms each document has, counted inside its row."""
+    return docs.select(F.col(key).alias("doc_id"), F.coalesce(F.size(F.array_distinct(tokens(F.col(text), options))), F.lit(0)).cast("long").alias("distinct_terms"))
+
+
 def dictionary(posted: DataFrame) -> DataFrame:
     """(term, df, cf): documents that have the term, and occurrences."""
     return posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
@@ -60,9 +66,14 @@ def position_gaps(posted: DataFrame) -> DataFrame:
 
 
 def undo_doc_gaps(gapped: DataFrame, order: str) -> DataFrame:
-    """doc_id as the running sum of doc_gap in the stated order within a term."""
-    window = Window.partitionBy("term").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return gapped.withColumn("doc_id", F.sum("doc_gap").over(window))
+    """doc_id as the running sum of doc_gap in the stated order, whole numbers, within a term. A frequent term is summed in
+    blocks of that order; the sums of the blocks before stand in for a block's start."""
+    blocked = gapped.withColumn("_block", F.floor(F.col(order) / BLOCK))
+    sums = blocked.groupBy("term", "_block").agg(F.sum("doc_gap").alias("_sum"))
+    ahead = sums.withColumn("_ahead", F.sum("_sum").over(Window.partitionBy("term").orderBy("_block")) - F.col("_sum")).drop("_sum")
+    inside = Window.partitionBy("term", "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = blocked.join(ahead, ["term", "_block"])
+    return joined.withColumn("doc_id", F.col("_ahead") + F.sum("doc_gap").over(inside)).drop("_block", "_ahead")
 
 
 def packed(posted: DataFrame) -> DataFrame:
@@ -91,7 +102,9 @@ FORWARD_HEADER, FORWARD_RECORD, INVERTED_HEADER, INVERTED_RECORD, DOC_ID_BYTES =
 
 
 def index_sizes(posted: DataFrame, forward: DataFrame) -> DataFrame:
-    """One row: bytes of the packed forward index and of the inverted index with plain and with packed postings."""
+    """One row: bytes of the packed forward index and of the inverted index with plain and with packed postings. Postings
+    are made and written once, however often they are read here."""
+    posted = cut(posted, "postings")
     words = dictionary(posted).agg(F.count("*").alias("terms"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("term_bytes"), F.coalesce(F.sum("df"), F.lit(0)).alias("n"))
     heap = forward.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.octet_length("url") + F.octet_length("title")), F.lit(0)).alias("heap"))
     both = words.select("*", *[heap.select(c).scalar().alias(c) for c in heap.columns], packed_bytes(posted).scalar().alias("postings_bytes"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessel.functions.text import DEFAULT, TokenOptions, query_terms
 from tessel.operators.boolean import NOT, TERM, QueryError, boolean_batch, boolean_search, compile_query, is_boolean, lex
+from tessel.sources.storage import cut
 
 TOP = 20
 
@@ -72,7 +73,8 @@ def top(hits: DataFrame, n: int = TOP) -> DataFrame:
 
 
 def with_hits(hits: DataFrame, n: int = TOP) -> DataFrame:
-    """The best n with hits, the number there were before the cut."""
+    """The best n with hits, the number there were before the cut. Scores are written once and read by both."""
+    hits = cut(hits, "hits")
     return top(hits, n).withColumn("hits", hits.agg(F.count("*")).scalar())
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessel.config import Config
 from tessel.functions import text as X
 from tessel.functions import vbyte
 from tessel.functions.text import TokenOptions
@@ -88,6 +89,22 @@ def term_freq_stem(spark, d):
     return S.term_freq(documents(spark, d), STEMMED)
 
 
+_LATIN, _CYRILLIC = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "АБЦДЕФГХИЙКЛМНОПЯРСТУВЫЁЭЗабцдефгхийклмнопярстувыёэз"
+# The stemmer's endings once more, as the SQL that states the result has to name them itself.
+_ENDINGS_SQL = "иями|ями|ами|ыми|ими|ого|ему|ому|ее|ие|ые|ое|ей|ий|ый|ая|яя|ою|ею|ую|юю|ам|ям|ах|ях|ом|ем|а|я|ы|и|о|е|у|ю|ь"
+
+
+@query(f"WITH d AS (SELECT translate(text, '{_LATIN}', '{_CYRILLIC}') AS t FROM documents), w AS (SELECT unnest(regexp_extract_all(replace(lower(t), 'ё', 'е'), '[a-z]+(?:-[a-z]+)*|[а-я]+(?:-[а-я]+)*')) AS term FROM d) SELECT regexp_replace(term, '^(.{{3,}}?)(?:{_ENDINGS_SQL})$', '\\1') AS term, count(*) AS freq FROM w GROUP BY 1")
+def term_freq_stem_cyrillic(spark, d):
+    """Documents in Cyrillic letters, ё among them: folding, tokens and stems of another alphabet."""
+    return S.term_freq(documents(spark, d).select(F.translate("text", _LATIN, _CYRILLIC).alias("text")), STEMMED)
+
+
+@query(f"WITH {_WORDS} SELECT d.doc_id, count(DISTINCT term) AS distinct_terms FROM documents d LEFT JOIN words w ON d.doc_id = w.doc_id GROUP BY d.doc_id")
+def distinct_terms(spark, d):
+    return P.distinct_terms(documents(spark, d))
+
+
 @query(f"WITH {_WORDS} SELECT count(DISTINCT term) AS unique_terms FROM words")
 def unique_terms(spark, d):
     return S.unique_terms(documents(spark, d))
@@ -207,7 +224,7 @@ BOOLEAN = {
     "bool_nested": ("(der OR les) && !(und and not die) or that", f"(({_has('der')} OR {_has('les')}) AND NOT ({_has('und')} AND NOT {_has('die')})) OR {_has('that')}"),
     "bool_multi_piece_term": ("the&of,and", f"{_has('the')} AND {_has('of')} AND {_has('and')}"),
     "bool_empty_leaf": ("NOT 123", "true"),
-    "bool_double_not": ("not not them", _has("them")),
+    "bool_double_not": ("not not the", _has("the")),
 }
 for _name, (_text, _test) in BOOLEAN.items():
     QUERIES[_name] = _boolean(_text)
@@ -327,7 +344,14 @@ def clean_markup_pages(spark, d):
     return table(spark, d, "pages").select("page_id", X.clean_markup(F.col("html")).alias("clean"))
 
 
-@query()
+_PARSED_SQL = "html"
+for _entity, _char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+    _PARSED_SQL = f"replace({_PARSED_SQL}, '{_entity}', '{_char}')"
+for _pattern in ("<!--.*?-->", "<script[^>]*>.*?</script>", "<style[^>]*>.*?</style>", "<(?:pre|code)[^>]*>.*?</(?:pre|code)>", "<[^>]*>"):
+    _PARSED_SQL = f"regexp_replace({_PARSED_SQL}, '{_pattern}', ' ', 'gs')"
+
+
+@query(f"SELECT page_id, {_SQUEEZE.format(_PARSED_SQL)} AS clean FROM pages")
 def clean_parsed_pages(spark, d):
     return table(spark, d, "pages").select("page_id", X.clean_html(F.col("html")).alias("clean"))
 
@@ -386,6 +410,51 @@ def stale_or_missing(spark, d):
     return I.stale(_seen(spark, d), _middle(spark, d), missing=True).select("event_id")
 
 
+@query(f"SELECT event_id FROM (SELECT event_id, {_WHEN} AS seen FROM events) WHERE seen IS NULL OR seen < {_MIDDLE_SQL} ORDER BY seen NULLS FIRST, event_id LIMIT 500")
+def stale_in_one_run(spark, d):
+    return I.stale(_seen(spark, d), _middle(spark, d), missing=True, most=500, key="event_id").select("event_id")
+
+
+@query("SELECT doc_id, \"offset\" FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS \"offset\" FROM documents) WHERE \"offset\" >= 70")
+def resume_from_offset(spark, d):
+    return I.resumed(documents(spark, d).select("doc_id"), 70)
+
+
+@query("SELECT ((o - 70) // 50)::BIGINT AS saved, max(o) + 1 AS \"offset\" FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS o FROM documents) WHERE o >= 70 GROUP BY 1")
+def save_points(spark, d):
+    return I.save_points(I.resumed(documents(spark, d).select("doc_id"), 70), 50)
+
+
+SOURCES = Config.of({"sources": {"src3": True, "src7": True, "src9": False}}, {}).sources
+
+
+@query("SELECT doc_id FROM documents WHERE source IN ('src3', 'src7')")
+def enabled_sources(spark, d):
+    return I.from_sources(table(spark, d, "documents"), SOURCES).select("doc_id")
+
+
+@query("SELECT 'url' AS key, count(*) AS rows, count(*) - count(url) AS missing, count(url) - count(DISTINCT url) AS repeated FROM pages UNION ALL SELECT 'page_id', count(*), count(*) - count(page_id), count(page_id) - count(DISTINCT page_id) FROM pages")
+def unique_keys(spark, d):
+    return I.uniqueness(table(spark, d, "pages"), "url", "page_id")
+
+
+@query("SELECT count(*) AS processed, count(*) FILTER (page_id % 5 <> 0 AND page_id % 4 = 0) AS updated, count(*) FILTER (page_id % 5 <> 0 AND page_id % 4 <> 0) AS unchanged, count(*) FILTER (page_id % 5 = 0) AS failed FROM pages WHERE page_id % 3 <> 1")
+def change_counts(spark, d):
+    pages = table(spark, d, "pages")
+    body = F.when(F.col("page_id") % 5 != 0, F.when(F.col("page_id") % 4 == 0, F.concat("html", F.lit("!"))).otherwise(F.col("html")))
+    return I.change_counts(pages.select("page_id", F.col("html").alias("raw_html")), pages.filter("page_id % 3 <> 1").select("page_id", body.alias("body")), "page_id")
+
+
+@query("SELECT page_id FROM pages WHERE page_id % 7 IN (3, 4, 6) OR page_id % 2 = 1")
+def service_titles(spark, d):
+    """Titles built from pages: a word of a list, then for even ids a colon and the address."""
+    names = F.array(*[F.lit(x) for x in ("Википедия", "Template", "Файл", "Город", "категория", "Модуль", "Портал и")])
+    title = F.concat(F.get(names, (F.col("page_id") % 7).cast("int")), F.when(F.col("page_id") % 2 == 0, F.lit(":")).otherwise(F.lit(" ")), "url")
+    first = F.regexp_replace(title, ":", " ")
+    titled = table(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, title).otherwise(first).alias("title"))
+    return titled.filter(~X.is_service_page(F.col("title"))).select("page_id")
+
+
 @query("SELECT page_id, md5(CASE WHEN page_id % 4 = 0 THEN html || '!' ELSE html END) AS digest, CASE WHEN page_id % 4 = 0 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS last_crawled_at FROM pages")
 def update_on_change(spark, d):
     stored = table(spark, d, "pages").select("page_id", F.col("html").alias("raw_html"), F.lit(1.0).alias("last_crawled_at"))

@@ -3,6 +3,7 @@ import bz2
 import pytest
 from pyspark.sql import functions as F
 
+from tessel.config import Config
 from tessel.operators import ingest as I
 from tessel.operators import ordering as O
 from tessel.operators import postings as P
@@ -73,6 +74,32 @@ def test_store(spark):
     assert got == {"u": ("x2", 7.0), "v": ("y", 9 * day), "w": ("z", None)}
 
 
+def test_runs(spark, tmp_path):
+    rows = spark.createDataFrame([("u", "1"), ("u", "0"), ("v", "2"), (None, "3")], "url string, raw_html string")
+    assert {r["raw_html"] for r in I.new_rows(rows.filter("url IS NOT NULL"), rows.limit(0), order="raw_html").collect()} == {"0", "2"}
+    assert [tuple(r) for r in I.uniqueness(rows, "url", "raw_html").collect()] == [("url", 4, 1, 1), ("raw_html", 4, 0, 0)]
+    assert I.require_unique(rows, "raw_html") is rows
+    with pytest.raises(ValueError, match="not unique: url"):
+        I.require_unique(rows, "raw_html", "url")
+    counted, told = I.observed(rows, "run", inserted=F.col("url") == "u", failed=F.col("url").isNull())
+    counted.write.parquet(f"{tmp_path}/out")
+    assert told.get == {"processed": 4, "inserted": 2, "failed": 1}
+    assert {r["url"] for r in I.from_sources(rows, {"u": True, "v": False}, "url").collect()} == {"u"}
+    assert I.from_sources(rows, {}, "url").count() == 0
+
+
+def test_config(tmp_path):
+    (tmp_path / "c.json").write_text('{"sources": {"a": true}, "most_per_run": 5}')
+    (tmp_path / "c.yaml").write_text("sources: {a: true}\nmost_per_run: 5\n")
+    told = Config.read(f"{tmp_path}/c.json", {"TESSEL_MOST_PER_RUN": "7", "TESSEL_STORE": "s3://x"})
+    assert told == Config(store="s3://x", sources={"a": True}, most_per_run=7) and Config.of({}, {}) == Config()
+    for bad in ({"odd": 1}, {"save_every": -1}):
+        with pytest.raises(ValueError, match="unknown|negative"):
+            Config.of(bad, {})
+    pytest.importorskip("yaml")
+    assert Config.read(f"{tmp_path}/c.yaml", {}) == Config(sources={"a": True}, most_per_run=5)
+
+
 def test_reports_and_queries(spark, tmp_path):
     T.write_report(spark.createDataFrame([('a,"b"', 1)], "term string, freq int").coalesce(1), str(tmp_path / "r"))
     assert [p.read_text() for p in (tmp_path / "r").glob("*.csv")] == ['term,freq\n"a,""b""",1\n']

@@ -101,6 +101,8 @@ def test_clean_markup(spark):
 def test_clean_html_and_article(spark):
     assert column(spark, ["<p>a <b>b</b><code>c</code> &eacute;</p>", None], X.clean_html) == ["a b é", ""]
     assert X.html_text("<p>a<code>c</code></p>", keep_code=True) == "a c"
+    unseen = "<p>a</p><script>var x='</p>';</script><style>p{c:d}</style><template><b>t</b></template><p>b <code>q</code>"
+    assert X.html_text(unseen) == "a b" and X.html_text(unseen, keep_code=True) == "a b q"
     text = "A <!-- n --> B<ref name=x>r</ref> [https://u label] [https://u] [[Category:Q]] {{t|{{u}}}} [[P|Q]]&nbsp;''i''"
     assert column(spark, [text], X.clean_article) == ["A B label Q i"]
 
