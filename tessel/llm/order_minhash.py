@@ -141,7 +141,8 @@ def edited_text(text: str, following: str) -> str:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Signature of each whole text as hex. A null text counts as empty; equal texts have equal fingerprints."""
+    """Signature of each whole text, however long, as hex. A null text counts as empty; equal texts have equal
+    fingerprints, repeated rows repeated results, an empty table none; other columns are ignored, whatever their names."""
     source = docs.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -115,6 +115,15 @@ def test_ogg_columns(docs, empty, fixture_rows):
         p, n = O.padded(t)
         expected.add((i, n, len(p), sha(p), zlib.crc32(p[-64:])))
     assert got == expected and O.ogg_columns(docs).count() == len(fixture_rows) and O.ogg_columns(empty).count() == 0
+    # The stored form and what is computed from it, row by row.
+    for r in O.ogg_columns(docs).collect():
+        t = next(t for i, t, *_ in fixture_rows if i == r["doc_id"])
+        media = O.write_ogg(O.padded(t)[0])
+        samples, times = O.sound_of(O.read_ogg(media))
+        x = [b - 128 for b in samples]
+        told = dict(f.split("=") for f in r["feature"].split(";"))
+        assert (r["media_bytes"], r["media_sha256"], r["bad_pages"], r["duration_s"]) == (len(media), sha(media), 0, len(samples) / O.RATE)
+        assert int(told["pages"]) == media.count(b"OggS\0") and int(told["power"]) == sum(v * v for v in x) // len(x) and int(told["mean"]) == sum(x) * 1000 // len(x)
     media = O.ogg_columns(docs.filter("doc_id = 76"), with_media=True)
     packets = O.parse_media(media).orderBy("serial", "packet").collect()
     sound = [r for r in packets if r["serial"] == O.SOUND][1:]

@@ -1,6 +1,8 @@
 """Classifiers: gradients, held-out accuracy on made-up corpora, and the rows that have to be borne."""
 
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -58,6 +60,21 @@ def test_counterfactuals_hold_groups_together(labelled):
     assert X.swapped({"the", "women"}, 0) == {"the", "men"} and X.swapped({"the"}, 0) is None
 
 
+def test_scores_are_a_plain_loop(labelled):
+    """Every row's score by the fitted weights, one word after the other."""
+    docs, labels, _ = labelled
+    sample = X.labelled_sample(docs, labels, "toxic")
+    model = X.train([w for w, _ in sample], [y for _, y in sample])
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in X.score_documents(docs, model).collect():
+        z = model.bias
+        for w in sorted({m.lower() for m in re.findall(r"[^\W\d_]+", text[r["doc_id"]])}):
+            for key in ("w" + w, *["p" + w[:n] for n in (4, 5, 6, 7, 8) if len(w) > n]):
+                z += model.weights.get(zlib.crc32(key.encode()) % (1 << 20), 0.0)
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=2e-9)
+        assert r["predicted"] == (r["score"] >= 0.5)
+
+
 def test_toxicity_degenerate(spark, docs, empty, fixture_rows):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     odd = spark.createDataFrame([(3, 1), (3, 0), (72, 1), (None, 1), (5, None), (73, 0), (9999, 1), (8, 0)], "doc_id long, toxic int")
@@ -92,6 +109,14 @@ def test_quality(spark, empty):
     judged = [r for r in got if r["doc_id"] in good]
     assert np.mean([r["keep"] == good[r["doc_id"]] for r in judged]) > 0.98
     assert {r["votes"] for r in got if r["doc_id"] in (1000, 1001, 1002)} == {"-" * len(Q.LABELLERS)}
+    # Every row's score by the fitted weights, feature after feature.
+    model, posterior, _ = Q.fit(docs)
+    for r, t in [(r, {i: t for i, t, *_ in rows}[r["doc_id"]]) for r in got[::7]]:
+        stats, kinds = Q.statistics(t)
+        z = model.bias
+        for slot, value in zip(*Q.features(stats, kinds)):
+            z += model.weight[slot] * value
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=2e-9) and r["posterior"] == posterior[r["votes"]]
     kept = Q.keep_good(docs)
     assert kept.columns == docs.columns and multiset(kept, "doc_id") == sorted(((r["doc_id"],) for r in got if r["keep"]), key=repr)
     assert Q.quality(empty).count() == 0 and Q.keep_good(empty).count() == 0

@@ -65,6 +65,16 @@ def test_edited(docs, empty, fixture_rows):
             half = len(t) // 2
             expected.append((i, len(t), hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()))
         assert got == sorted(expected, key=repr)
+    # Fingerprints and likenesses of the query, by the operator's own signature of each text, and by that of texts alone.
+    sign = lambda t: [M.to_hex(M.sketch(t))[i : i + 4] for i in range(0, 4 * M.SKETCH, 4)]
+    alike = lambda a, b: sum(x == y for x, y in zip(a, b)) / M.SKETCH
+    rows = []
+    for n, (i, t) in enumerate(order):
+        after = order[(n + 1) % len(order)][1]
+        own, edited, following = sign(t), sign(t[: len(t) - len(t) // 2] + after[: len(t) // 2]), sign(after)
+        rows.append((i, "".join(own), "".join(edited), alike(own, edited), alike(own, following)))
+    assert multiset(M.edited_fingerprints(docs, 3), "doc_id", "fingerprint", "edited_fingerprint", "near_edited", "near_next") == sorted(rows, key=repr)
+    assert multiset(M.fingerprints(docs), "doc_id", "fingerprint") == sorted(((i, "".join(sign(t))) for i, t in order), key=repr)
     assert M.edited_fingerprints(empty).count() == 0
     alone = M.edited_fingerprints(docs.filter("doc_id = 5")).first()
     assert alone["near_next"] == 1.0
