@@ -189,9 +189,9 @@ def clean_article(text: Column) -> Column:
 
 
 def decode_url(text: Column) -> Column:
-    """Percent escapes to bytes, underscores to spaces; plus stays. Where an escape is invalid, escapes stay as they are."""
-    spaced = F.translate(text, "_", " ")
-    return F.coalesce(F.try_url_decode(F.replace(spaced, F.lit("+"), F.lit("%2B"))), spaced)
+    """Percent escapes to bytes, underscores to spaces; plus stays, and so does a percent sign that starts no escape."""
+    spaced = F.replace(F.translate(text, "_", " "), F.lit("+"), F.lit("%2B"))
+    return F.url_decode(F.regexp_replace(spaced, "%(?![0-9A-Fa-f]{2})", "%25"))
 
 
 def encode_url(text: Column) -> Column:

@@ -375,6 +375,12 @@ def url_encoding(spark, d):
     return spark.createDataFrame([(0, "C/D_м x~.-*+")], "i long, t string").select("i", X.encode_url(F.col("t")).alias("url"))
 
 
+@query("SELECT page_id, replace(url, '_', ' ') || '%zzA%' AS title FROM pages")
+def escaped_titles(spark, d):
+    coded = F.concat(F.lit("https://w.example/wiki/"), X.encode_url(F.col("url")), F.lit("%zz%41%?q=1"))
+    return table(spark, d, "pages").select("page_id", X.title_of_url(coded).alias("title"))
+
+
 @query("SELECT url, min(page_id) AS page_id FROM pages GROUP BY url")
 def dedupe_url(spark, d):
     return I.first_by(table(spark, d, "pages"), "url", "page_id").select("url", "page_id")

@@ -29,7 +29,7 @@ def test_every_query_has_sql_or_says_why():
 
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["corpus_stats_numbers", "term_freq_stem", "ranked_terms", "postings_positions", "doc_gaps", "vbyte_size", "bool_nested", "bool_page", "tfidf_boolean", "tfidf_strict", "query_batch", "boolean_batch", "limit_bytes", "clean_markup_pages", "ws_norm", "insert_new", "update_on_change", "clean_parsed_pages", "bool_double_not", "term_freq_stem_cyrillic", "distinct_terms", "stale_in_one_run", "resume_from_offset", "save_points", "enabled_sources", "unique_keys", "change_counts", "service_titles", "gap_decode", "index_sizes", "tfidf_top"])
+@pytest.mark.parametrize("name", ["corpus_stats_numbers", "term_freq_stem", "ranked_terms", "postings_positions", "doc_gaps", "vbyte_size", "bool_nested", "bool_page", "tfidf_boolean", "tfidf_strict", "query_batch", "boolean_batch", "limit_bytes", "clean_markup_pages", "ws_norm", "insert_new", "update_on_change", "clean_parsed_pages", "bool_double_not", "term_freq_stem_cyrillic", "distinct_terms", "stale_in_one_run", "resume_from_offset", "save_points", "enabled_sources", "unique_keys", "change_counts", "service_titles", "gap_decode", "index_sizes", "tfidf_top", "title_from_url", "escaped_titles"])
 def test_query_matches_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     with duckdb.connect() as con:

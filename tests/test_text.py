@@ -130,3 +130,9 @@ def test_service_pages_and_tags(spark):
     assert column(spark, ["Шаблон:Инфобокс", "Москва", "a:b"], X.is_service_page) == [True, False, False]
     assert column(spark, ["<a><b-c>", ""], lambda c: F.array_join(X.split_tags(c), "|")) == ["a|b-c", ""]
     assert re.fullmatch(X.STEM, "аба") is None
+
+
+def test_decode_url_keeps_what_is_no_escape(spark):
+    cases = [("a%41_b", "aA b"), ("%zz%41", "%zzA"), ("100%", "100%"), ("%%41+%4", "%A+%4"), ("%D0%BC%5F%2b", "м_+"), ("", ""), (None, None)]
+    got = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(cases)], "i int, u string").select("i", X.decode_url(F.col("u")).alias("t")).orderBy("i").collect()
+    assert [r["t"] for r in got] == [b for _, b in cases]
