@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.functions import vbyte
@@ -15,11 +15,37 @@ def occurrences(docs: DataFrame, options: TokenOptions = DEFAULT, key: str = "do
     return docs.select(F.col(key).alias("doc_id"), F.posexplode(tokens(F.col(text), options)).alias("pos", "term")).select("term", "doc_id", F.col("pos").cast("long").alias("pos"))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), value being computed once a row, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _runs(words: Column, placed: Column) -> Column:
+    """(term, tf, positions) for each run of equal words among sorted ones; placed has their positions beside them."""
+
+    def cut_at(starts: Column) -> Column:
+        def run(start: Column, k: Column) -> Column:
+            n = F.coalesce(F.get(starts, k + 1), F.size(words)) - start
+            return F.struct(F.get(words, start).alias("term"), n.cast("long").alias("tf"), F.slice(placed, start + 1, n).alias("positions"))
+
+        return F.transform(starts, run)
+
+    first = lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1))
+    return _let(F.filter(F.sequence(F.lit(0), F.size(words) - 1), first), cut_at)
+
+
 def postings(docs: DataFrame, options: TokenOptions = DEFAULT, positions: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(term, doc_id, tf), with the sorted positions on request. Keyed by term and document, so no term is one group."""
-    found = occurrences(docs, options, key, text).groupBy("term", "doc_id")
-    tf = F.count("*").alias("tf")
-    return found.agg(tf, F.sort_array(F.collect_list("pos")).alias("positions")) if positions else found.agg(tf)
+    """(term, doc_id, tf), with the sorted positions on request. Keyed by term and document, so no term is one group.
+
+    Counts are added up before the shuffle, and a filter on term reaches the occurrences. Positions would all go through
+    it, so they are sorted and cut into runs inside a document's row, without a shuffle: there a document is one row.
+    """
+    if not positions:
+        return occurrences(docs, options, key, text).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    found = F.nullif(tokens(F.col(text), options), F.array().cast("array<string>"))
+    pairs = F.sort_array(F.transform(found, lambda t, i: F.struct(t.alias("term"), i.cast("long").alias("pos"))))
+    runs = _let(pairs, lambda s: _let(s["term"], lambda w: _let(s["pos"], lambda p: _runs(w, p))))
+    return docs.select(F.col(key).alias("doc_id"), F.inline(runs)).select("term", "doc_id", "tf", "positions")
 
 
 def distinct_terms(docs: DataFrame, options: TokenOptions = DEFAULT, key: str = "doc_id", text: str = "text") -> DataFrame:

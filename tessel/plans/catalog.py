@@ -16,7 +16,7 @@ from tessel.operators import ingest as I
 from tessel.operators import postings as P
 from tessel.operators import ranked as R
 from tessel.operators import stats as S
-from tessel.sources.storage import new_place
+from tessel.sources.storage import new_place, spread
 from tessel.streaming.ingest import ingest_once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,7 +40,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _tokens(column: str = "text", pattern: str = X.WORDS) -> str:

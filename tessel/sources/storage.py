@@ -37,6 +37,17 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes below which spread deals a table anew; it shuffles no more than that.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, its rows dealt over all cores where it is small: a small table may be one row group, which one task reads and
+    computes on alone. A larger table stays as it is read."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if int(str(size)) < SPREAD_BYTES else df
+
+
 def sweep(spark: SparkSession) -> int:
     """Remove what this process has written between jobs; call it once results that rest on it are stored."""
     jvm, n = spark.sparkContext._jvm, 0

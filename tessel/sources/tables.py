@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessel.functions.text import DEFAULT, TokenOptions
 from tessel.operators import postings as P
+from tessel.sources.storage import spread
 
 PAGE = "title string, ns int, id long, redirect struct<_title string>, revision struct<id long, timestamp string, text string>"
 POST = "_Id string, _PostTypeId string, _ParentId string, _Title string, _Body string, _Score int, _ViewCount int, _AnswerCount int, _Tags string, _CreationDate string"
@@ -68,7 +69,7 @@ class Index:
         """Write the index of the documents that have text and open it."""
         spark = docs.sparkSession
         there = docs.filter(F.col(text).isNotNull())
-        posted = P.postings(there, options, positions=True, text=text)
+        posted = P.postings(spread(there), options, positions=True, text=text)
         posted.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
         P.dictionary(spark.read.parquet(f"{path}/postings")).write.parquet(f"{path}/dictionary")
         P.forward_index(there).write.parquet(f"{path}/forward")

@@ -4,12 +4,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessel.config import Config
+from tessel.functions.text import query_terms
 from tessel.operators import ingest as I
 from tessel.operators import ordering as O
 from tessel.operators import postings as P
 from tessel.operators import stats as S
 from tessel.sources import packed_files as K
+from tessel.sources import storage
 from tessel.sources import tables as T
+from tessel.sources.storage import spread
 from tessel.streaming import ingest as N
 
 
@@ -137,3 +140,27 @@ def test_stream(spark, tmp_path):
     unique = N.unique_stream(N.read_stream(spark, str(tmp_path / "in"), schema))
     unique.writeStream.format("memory").queryName("uniq").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     assert spark.table("uniq").agg(F.count("*")).first()[0] == 3
+
+
+def test_positions_inside_rows(spark):
+    """Nulls, empty texts, texts without words, repeats and a long text, against a plain loop."""
+    texts = [None, "", "  12 ", "b a b", "A a-a a", "word " * 30_000 + "end word", "b a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expected = {}
+    for i, text in enumerate(texts):
+        for at, term in enumerate(query_terms(text or "")):
+            expected.setdefault((term, i), []).append(at)
+    got = P.postings(docs, positions=True)
+    assert {(r["term"], r["doc_id"]): r["positions"] for r in got.collect()} == expected
+    assert got.count() == len(expected)
+    assert sorted(got.drop("positions").collect()) == sorted(P.postings(docs).collect())
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert P.postings(docs.limit(0), positions=True).isEmpty()
+
+
+def test_small_tables_are_dealt_and_large_ones_stay(spark, monkeypatch):
+    one = spark.range(100).coalesce(1)
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(r["id"] for r in spread(one).collect()) == list(range(100))
+    monkeypatch.setattr(storage, "SPREAD_BYTES", 1)
+    assert spread(one).rdd.getNumPartitions() == 1
