@@ -127,8 +127,9 @@ def mode(stored: DataFrame, now: float, after_days: float) -> str | None:
 
 
 def change_counts(stored: DataFrame, fetched: DataFrame, key: str = "url") -> DataFrame:
-    """One row: processed, updated, unchanged and failed, of the stored rows that were fetched again."""
-    fresh = fetched.dropDuplicates([key]).select(key, F.col("body").alias("_body"))
+    """One row: processed, updated, unchanged and failed, of the stored rows that were fetched again. Of a key's
+    bodies the least counts, as in changed, so a failure beside a body is none."""
+    fresh = fetched.groupBy(key).agg(F.min("body").alias("_body"))
     joined = stored.join(fresh, key)
     differs = F.md5(F.col("_body")) != F.md5(F.coalesce("raw_html", F.lit("")))
     return joined.agg(F.count("*").alias("processed"), F.count_if(differs).alias("updated"), F.count_if(~differs).alias("unchanged"), F.count_if(F.col("_body").isNull()).alias("failed"))
@@ -136,8 +137,8 @@ def change_counts(stored: DataFrame, fetched: DataFrame, key: str = "url") -> Da
 
 def changed(stored: DataFrame, fetched: DataFrame, now: float, key: str = "url") -> DataFrame:
     """stored with raw_html and last_crawled_at of those rows set whose fetched body has another digest. Rows without
-    a fetched body, or with an equal one, stay as they are."""
-    fresh = fetched.filter(F.col("body").isNotNull()).dropDuplicates([key]).select(key, F.col("body").alias("_body"))
+    a fetched body, or with an equal one, stay as they are; of several bodies of a key the least counts, so reruns agree."""
+    fresh = fetched.groupBy(key).agg(F.min("body").alias("_body"))
     joined = stored.join(fresh, key, "left")
     differs = F.col("_body").isNotNull() & (F.md5(F.col("_body")) != F.md5(F.coalesce("raw_html", F.lit(""))))
     return joined.select(*[F.when(differs, F.col("_body")).otherwise(F.col(c)).alias(c) if c == "raw_html" else F.when(differs, F.lit(now)).otherwise(F.col(c)).alias(c) if c == "last_crawled_at" else F.col(c) for c in stored.columns])

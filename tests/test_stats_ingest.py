@@ -164,3 +164,12 @@ def test_small_tables_are_dealt_and_large_ones_stay(spark, monkeypatch):
     assert sorted(r["id"] for r in spread(one).collect()) == list(range(100))
     monkeypatch.setattr(storage, "SPREAD_BYTES", 1)
     assert spread(one).rdd.getNumPartitions() == 1
+
+
+def test_repeated_fetches_of_a_key_agree(spark):
+    stored = spark.createDataFrame([("u", "b", 1.0), ("v", "b", 1.0), ("w", "b", 1.0)], "url string, raw_html string, last_crawled_at double")
+    fetched = spark.createDataFrame([("u", None), ("u", "d"), ("u", "c"), ("v", None), ("w", "b")], "url string, body string")
+    for rows in (fetched, fetched.orderBy(F.col("body").desc_nulls_first())):
+        after = {r["url"]: (r["raw_html"], r["last_crawled_at"]) for r in I.changed(stored, rows, 2.0).collect()}
+        assert after == {"u": ("c", 2.0), "v": ("b", 1.0), "w": ("b", 1.0)}
+        assert I.change_counts(stored, rows).first().asDict() == {"processed": 3, "updated": 1, "unchanged": 1, "failed": 1}
