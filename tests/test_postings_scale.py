@@ -54,5 +54,11 @@ def coded(n):
     return out + [n | 128]
 
 
+def test_numbers_of_five_bytes(spark):
+    numbers = [(1 << 28) - 1, 1 << 28, 310_799_741, (1 << 32) - 1]
+    got = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", vbyte.encode(F.col("n")).alias("b")).withColumn("d", vbyte.decode_all(F.col("b"))[0]).collect()
+    assert all(r["b"] == coded(r["n"]) and max(r["b"]) < 256 and r["d"] == r["n"] for r in got)
+
+
 def test_entities_without_their_semicolon_are_decoded():
     assert X.html_text("<title>the&amp;&amp;&amp</title><p>b &quot c &am d</p>") == 'the&&& b " c &am d'
