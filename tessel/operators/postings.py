@@ -20,18 +20,24 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _runs(words: Column, placed: Column) -> Column:
-    """(term, tf, positions) for each run of equal words among sorted ones; placed has their positions beside them."""
+def _starts(words: Column) -> Column:
+    """Where runs of equal words start among sorted ones, of which there is at least one."""
+    return F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
+
+
+def _runs(words: Column, placed: Column | None = None) -> Column:
+    """(term, tf) for each run of equal words among sorted ones, null without words; with positions, of which placed has
+    each word's beside it."""
 
     def cut_at(starts: Column) -> Column:
         def run(start: Column, k: Column) -> Column:
             n = F.coalesce(F.get(starts, k + 1), F.size(words)) - start
-            return F.struct(F.get(words, start).alias("term"), n.cast("long").alias("tf"), F.slice(placed, start + 1, n).alias("positions"))
+            own = [] if placed is None else [F.slice(placed, start + 1, n).alias("positions")]
+            return F.struct(F.get(words, start).alias("term"), n.cast("long").alias("tf"), *own)
 
         return F.transform(starts, run)
 
-    first = lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1))
-    return _let(F.filter(F.sequence(F.lit(0), F.size(words) - 1), first), cut_at)
+    return F.when(F.size(words) > 0, _let(_starts(words), cut_at))
 
 
 def postings(docs: DataFrame, options: TokenOptions = DEFAULT, positions: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -42,8 +48,7 @@ def postings(docs: DataFrame, options: TokenOptions = DEFAULT, positions: bool =
     """
     if not positions:
         return occurrences(docs, options, key, text).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    found = F.nullif(tokens(F.col(text), options), F.array().cast("array<string>"))
-    pairs = F.sort_array(F.transform(found, lambda t, i: F.struct(t.alias("term"), i.cast("long").alias("pos"))))
+    pairs = F.sort_array(F.transform(tokens(F.col(text), options), lambda t, i: F.struct(t.alias("term"), i.cast("long").alias("pos"))))
     runs = _let(pairs, lambda s: _let(s["term"], lambda w: _let(s["pos"], lambda p: _runs(w, p))))
     return docs.select(F.col(key).alias("doc_id"), F.inline(runs)).select("term", "doc_id", "tf", "positions")
 
@@ -67,21 +72,43 @@ def postings_lists(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.sort_array(F.collect_list("doc_id")).alias("docs"))
 
 
-#: Document ids of one term that a task takes together.
-BLOCK = 65_536
+#: Document ids of one term that a task takes together. Rare terms have a block for each posting where blocks are short.
+BLOCK = 1 << 20
 
 
-def doc_gaps(posted: DataFrame) -> DataFrame:
-    """Postings with doc_gap: the distance to the term's previous document, from 0 for the first.
+def _dealt(rows: DataFrame, order: str) -> DataFrame:
+    """Rows with their block of the stated order, null last, dealt by term and block. Joins infer that a term isn't null;
+    said here, all readers of the shuffle have the same filter."""
+    return rows.filter("term IS NOT NULL").withColumn("_block", F.coalesce(F.floor(F.col(order) / BLOCK), F.lit((1 << 63) - 1))).repartition("term", "_block")
+
+
+def _of_blocks(dealt: DataFrame, amount: Column) -> DataFrame:
+    """(term, _block, _of): amount by term and block. Every column is asked for, so that Spark finds the same shuffle here
+    and where the rows themselves are read, and makes it once."""
+    rest = F.max(F.xxhash64(*[c for c in dealt.columns if c not in ("term", "_block")])).alias("_rest")
+    return dealt.groupBy("term", "_block").agg(amount.alias("_of"), rest).filter("_rest IS NOT NULL").drop("_rest")
+
+
+def _with_previous(posted: DataFrame) -> DataFrame:
+    """Postings with _previous, the term's document before, null for the first.
 
     A frequent term is split into blocks of ids; the last id of the block before stands in for a block's first row.
     """
-    blocked = posted.withColumn("_block", F.floor(F.col("doc_id") / BLOCK))
-    last = blocked.groupBy("term", "_block").agg(F.max("doc_id").alias("_last"))
-    ahead = last.withColumn("_ahead", F.lag("_last", 1, 0).over(Window.partitionBy("term").orderBy("_block"))).drop("_last")
-    inside = F.lag("doc_id").over(Window.partitionBy("term", "_block").orderBy("doc_id"))
-    joined = blocked.join(ahead, ["term", "_block"])
-    return joined.withColumn("doc_gap", F.col("doc_id") - F.coalesce(inside, F.col("_ahead"))).select(*posted.columns, "doc_gap")
+    dealt = _dealt(posted, "doc_id")
+    before = F.lag("_of").over(Window.partitionBy("term").orderBy("_block"))
+    ahead = _of_blocks(dealt, F.max("doc_id")).select("term", "_block", before.alias("_ahead")).filter("_ahead IS NOT NULL")
+    inside = F.lag("doc_id").over(Window.partitionBy("term", "_block").orderBy(F.col("doc_id").asc_nulls_last()))
+    joined = dealt.withColumn("_inside", inside).join(ahead.hint("merge"), ["term", "_block"], "left")
+    return joined.select(*posted.columns, F.coalesce("_inside", "_ahead").alias("_previous"))
+
+
+def _gap(previous: str = "_previous") -> Column:
+    return F.col("doc_id") - F.coalesce(previous, F.lit(0))
+
+
+def doc_gaps(posted: DataFrame) -> DataFrame:
+    """Postings with doc_gap: the distance to the term's previous document, from 0 for the first."""
+    return _with_previous(posted).select(*posted.columns, _gap().alias("doc_gap"))
 
 
 def position_gaps(posted: DataFrame) -> DataFrame:
@@ -108,11 +135,25 @@ def packed(posted: DataFrame) -> DataFrame:
     return gapped.select("term", "doc_id", vbyte.encode_all(F.concat(F.array(F.col("doc_gap"), F.col("tf")), "pos_gaps")).alias("bytes"))
 
 
+def _own_bytes() -> Column:
+    """Bytes of a posting's count and position gaps: a byte each, where no position needs more."""
+    p, start = F.col("positions"), F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("n"))
+    each = F.aggregate(p, start, lambda a, x: F.struct(x.alias("at"), (a["n"] + vbyte.length(x - a["at"])).alias("n")), lambda a: a["n"])
+    return vbyte.length(F.col("tf")) + F.when(F.get(p, F.size(p) - 1) < 128, F.size(p)).when(F.size(p) == 1, vbyte.length(F.get(p, F.lit(0)))).otherwise(each)
+
+
+def _sized(posted: DataFrame) -> DataFrame:
+    """(term, doc_id, _own, _previous): positions are measured where they are, and only their bytes go on to the gaps."""
+    return _with_previous(posted.select("term", "doc_id", _own_bytes().alias("_own")))
+
+
+def _postings_bytes() -> Column:
+    return F.coalesce(F.sum(F.col("_own") + vbyte.length(_gap())), F.lit(0)).alias("postings_bytes")
+
+
 def packed_bytes(posted: DataFrame) -> DataFrame:
     """One row: postings_bytes, without packing anything."""
-    gapped = position_gaps(doc_gaps(posted))
-    size = vbyte.length(F.col("doc_gap")) + vbyte.length(F.col("tf")) + F.aggregate("pos_gaps", F.lit(0).cast("long"), lambda a, g: a + vbyte.length(g))
-    return gapped.agg(F.coalesce(F.sum(size), F.lit(0)).alias("postings_bytes"))
+    return _sized(posted).agg(_postings_bytes())
 
 
 def forward_index(docs: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -45,6 +45,27 @@ def size_of(n):
     return 5 if n is None else next((k for k in range(1, 5) if n < 1 << 7 * k), 5)
 
 
+@pytest.mark.parametrize("block", [4, 1 << 20])
+def test_sizes_take_one_pass_over_the_texts(spark, plan_of, monkeypatch, block):
+    monkeypatch.setattr(P, "BLOCK", block)
+    rng = random.Random(3)
+    rows = ROWS + [(i * i * 700, " ".join(rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(n))) for i, n in enumerate((90, 128, 129, 400, 20_000), 4)]
+    rows.append((5, "once " + "a " * 16_500 + "twice " + "a " * 200 + "twice once"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    places = defaultdict(list)
+    for i, x in rows:
+        for at, t in enumerate(X.query_terms(x or "")):
+            places[t, i].append(at)
+    far = gaps(places)
+    want = sum(size_of(far[k]) + size_of(len(p)) + sum(size_of(b - a) for a, b in zip([0] + p, p)) for k, p in places.items())
+    posted = P.postings(docs, positions=True)
+    sized = P.packed_bytes(posted)
+    assert sized.first()[0] == want
+    for df in (sized,):
+        plan = plan_of(df)
+        assert plan.count("ReusedExchange") == 1 and "postings-" not in plan
+
+
 def coded(n):
     """The bytes that the reference's coder puts out."""
     out = []
