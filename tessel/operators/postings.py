@@ -53,6 +53,15 @@ def postings(docs: DataFrame, options: TokenOptions = DEFAULT, positions: bool =
     return docs.select(F.col(key).alias("doc_id"), F.inline(runs)).select("term", "doc_id", "tf", "positions")
 
 
+def all_postings(docs: DataFrame, options: TokenOptions = DEFAULT, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """postings without positions, for jobs that take every term. Where no id repeats, which a job over the ids alone
+    tells, words are counted inside their row: no shuffle, and no table of a task's words in memory. Else as postings."""
+    if not docs.groupBy(key).count().filter("count > 1").isEmpty():
+        return postings(docs, options, key=key, text=text)
+    runs = _let(F.sort_array(tokens(F.col(text), options)), lambda w: _runs(w))
+    return docs.select(F.col(key).alias("doc_id"), F.inline(runs)).select("term", "doc_id", "tf")
+
+
 def distinct_terms(docs: DataFrame, options: TokenOptions = DEFAULT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, distinct_terms): how many different terms each document has, counted inside its row."""
     return docs.select(F.col(key).alias("doc_id"), F.coalesce(F.size(F.array_distinct(tokens(F.col(text), options))), F.lit(0)).cast("long").alias("distinct_terms"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,25 +36,23 @@ def scoring_terms(query: str, options: TokenOptions = DEFAULT, strict_terms: boo
 def scores(posted: DataFrame, queries: list[tuple[int, str]], n_docs: int, options: TokenOptions = DEFAULT, strict_terms: bool = False) -> DataFrame:
     """(qid, doc_id, score) with score over 0, for documents that have a scoring term.
 
-    A term's weight is its number in the query; document frequencies come from the same scan, and contributions add up
-    in the order of the terms, so equal documents have equal scores.
+    A term's weight is its number in the query; document frequencies come from the same postings. Contributions add up
+    as they come, so ranks compare scores by ranking, which takes no notice of the order of a sum.
     """
     spark = posted.sparkSession
-    weights: dict[tuple[int, str], tuple[int, int]] = {}
-    for qid, text in queries:
-        for at, term in enumerate(scoring_terms(text, options, strict_terms)):
-            first, times = weights.get((qid, term), (at, 0))
-            weights[qid, term] = (first, times + 1)
+    weights: Counter[tuple[int, str]] = Counter((qid, term) for qid, text in queries for term in scoring_terms(text, options, strict_terms))
     terms = sorted({t for _, t in weights})
-    rows = [(qid, term, at, times) for (qid, term), (at, times) in weights.items()]
-    asked = spark.createDataFrame(rows, "qid long, term string, at int, times long")
+    asked = spark.createDataFrame([(qid, term, times) for (qid, term), times in weights.items()], "qid long, term string, times long")
     found = posted.filter(F.col("term").isin(*terms)) if terms else posted.limit(0)
     frequency = found.groupBy("term").agg(F.count("*").alias("df"))
-    known = asked.join(frequency, "term").withColumn("w", F.col("times") * idf(F.lit(float(n_docs)), F.col("df")))
-    parts = found.join(F.broadcast(known), "term").select("qid", "doc_id", "at", (F.col("tf") * F.col("w")).alias("c"))
-    # A document has at most as many parts as the query has terms.
-    summed = parts.groupBy("qid", "doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "c"))).alias("p"))
-    return summed.select("qid", "doc_id", F.aggregate("p", F.lit(0.0), lambda a, x: a + x["c"]).alias("score")).filter("score > 0")
+    known = asked.join(frequency, "term").select("qid", "term", (F.col("times") * idf(F.lit(float(n_docs)), F.col("df"))).alias("w"))
+    parts = found.join(F.broadcast(known), "term").select("qid", "doc_id", (F.col("tf") * F.col("w")).alias("c"))
+    return parts.groupBy("qid", "doc_id").agg(F.sum("c").alias("score")).filter("score > 0")
+
+
+def ranking(score: Column) -> Column:
+    """What ranks compare: the score to nine digits after the point."""
+    return F.rint(score * 1e9)
 
 
 def ranked_search(posted: DataFrame, docs: DataFrame, query: str, n_docs: int | None = None, options: TokenOptions = DEFAULT, strict_terms: bool = False) -> DataFrame:
@@ -69,7 +69,7 @@ def ranked_search(posted: DataFrame, docs: DataFrame, query: str, n_docs: int |
 
 def top(hits: DataFrame, n: int = TOP) -> DataFrame:
     """The best n hits, at least one: score falling, then doc_id."""
-    return hits.orderBy(F.col("score").desc(), "doc_id").limit(max(1, n))
+    return hits.orderBy(ranking(F.col("score")).desc(), "doc_id").limit(max(1, n))
 
 
 def with_hits(hits: DataFrame, n: int = TOP) -> DataFrame:
@@ -99,7 +99,7 @@ def ranked_batch(posted: DataFrame, docs: DataFrame, queries: list[tuple[int, st
     if selecting:
         ids = [q for q, _ in selecting]
         scored = scored.filter(~F.col("qid").isin(*ids)).union(scored.filter(F.col("qid").isin(*ids)).join(boolean_batch(posted, docs, selecting, options), ["qid", "doc_id"], "left_semi"))
-    best = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "doc_id"))
+    best = F.row_number().over(Window.partitionBy("qid").orderBy(ranking(F.col("score")).desc(), "doc_id"))
     # Spark keeps n rows a query in each task before the window (its group limit), so no query's hits meet in one task.
     return scored.withColumn("rank", best.cast("long")).filter(F.col("rank") <= max(1, n))
 

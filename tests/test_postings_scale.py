@@ -33,6 +33,18 @@ def counted(rows):
     return sorted(((t, i, n) for (t, i), n in Counter((t, i) for i, x in rows for t in X.query_terms(x or "")).items()), key=repr)
 
 
+def test_words_are_counted_inside_rows_or_added_up_where_ids_repeat(spark, docs, plan_of):
+    once = P.all_postings(docs)
+    assert sorted(map(tuple, once.collect()), key=repr) == counted(ROWS)
+    assert "Exchange" not in plan_of(once) and "HashAggregate" not in plan_of(once)
+    again = ROWS + [(0, "b c")]
+    got = P.all_postings(spark.createDataFrame(again, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == counted(again)
+    assert P.all_postings(docs.limit(0)).collect() == []
+    stemmed = P.all_postings(spark.createDataFrame([(7, "Машины машина x9 я")], "doc_id long, text string"), TokenOptions(True, True, 2))
+    assert sorted(map(tuple, stemmed.collect())) == [("x9", 7, 1), ("машин", 7, 2)]
+
+
 def gaps(posted):
     out, last = {}, {}
     for t, i in sorted(posted, key=lambda r: (r[0], r[1] is None, r[1] or 0)):
@@ -66,6 +78,24 @@ def test_sizes_take_one_pass_over_the_texts(spark, plan_of, monkeypatch, block):
         assert plan.count("ReusedExchange") == 1 and "postings-" not in plan
 
 
+def test_scores_of_dealt_documents_add_up_in_place(spark, plan_of):
+    docs = spark.createDataFrame([(i, "a b c " * (1 + i % 3)) for i in range(40)] + [(50, "z")], "doc_id long, text string").repartition("doc_id")
+    got = R.ranked_batch(P.all_postings(docs), docs, [(1, "a b c"), (2, "c c z"), (3, "and or")], 41, n=15, on_error="skip")
+    ranks = defaultdict(list)
+    for r in sorted(got.collect(), key=lambda r: (r["qid"], r["rank"])):
+        ranks[r["qid"]].append(r["doc_id"])
+    assert ranks == {1: [i for i in range(40) if i % 3 == 2] + [1, 4], 2: [50] + [i for i in range(40) if i % 3 == 2] + [1]}
+    plan = plan_of(got)
+    assert re.search(r"hashpartitioning\(qid#\d+L, \d+\)", plan) and not re.search(r"hashpartitioning\(qid#\d+L, doc_id", plan)
+    assert "collect_list" not in plan
+
+
+def test_ranks_compare_nine_digits(spark):
+    hits = spark.createDataFrame([(1, 0.3), (0, 0.1 + 0.2), (2, 0.3 + 1e-8)], "doc_id long, score double")
+    assert [r["doc_id"] for r in R.top(hits).collect()] == [2, 0, 1]
+    assert [r["doc_id"] for r in R.top(hits.withColumn("score", F.when(F.col("doc_id") == 0, 0.3).otherwise(0.1 + F.lit(0.2)))).collect()] == [0, 1, 2]
+
+
 def coded(n):
     """The bytes that the reference's coder puts out."""
     out = []
