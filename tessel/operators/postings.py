@@ -130,12 +130,12 @@ def position_gaps(posted: DataFrame) -> DataFrame:
 def undo_doc_gaps(gapped: DataFrame, order: str) -> DataFrame:
     """doc_id as the running sum of doc_gap in the stated order, whole numbers, within a term. A frequent term is summed in
     blocks of that order; the sums of the blocks before stand in for a block's start."""
-    blocked = gapped.withColumn("_block", F.floor(F.col(order) / BLOCK))
-    sums = blocked.groupBy("term", "_block").agg(F.sum("doc_gap").alias("_sum"))
-    ahead = sums.withColumn("_ahead", F.sum("_sum").over(Window.partitionBy("term").orderBy("_block")) - F.col("_sum")).drop("_sum")
-    inside = Window.partitionBy("term", "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = blocked.join(ahead, ["term", "_block"])
-    return joined.withColumn("doc_id", F.col("_ahead") + F.sum("doc_gap").over(inside)).drop("_block", "_ahead")
+    dealt = _dealt(gapped, order)
+    before = F.sum("_of").over(Window.partitionBy("term").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = _of_blocks(dealt, F.sum("doc_gap")).select("term", "_block", before.alias("_ahead")).filter("_ahead IS NOT NULL")
+    inside = F.sum("doc_gap").over(Window.partitionBy("term", "_block").orderBy(F.col(order).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))
+    joined = dealt.withColumn("_inside", inside).join(ahead.hint("merge"), ["term", "_block"], "left")
+    return joined.select(*gapped.columns, F.when(F.col("doc_gap").isNotNull(), F.coalesce("_ahead", F.lit(0)) + F.col("_inside")).alias("doc_id"))
 
 
 def packed(posted: DataFrame) -> DataFrame:

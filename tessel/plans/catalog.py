@@ -170,7 +170,8 @@ def pos_gaps(spark, d):
 
 @query(f"WITH {_POSTED} SELECT term, doc_id FROM posted")
 def gap_decode(spark, d):
-    gapped = P.doc_gaps(P.postings(documents(spark, d))).withColumn("place", F.col("doc_id")).drop("doc_id")
+    posted = P.all_postings(documents(spark, d)).select("term", "doc_id")
+    gapped = P.doc_gaps(posted).withColumnRenamed("doc_id", "place")
     return P.undo_doc_gaps(gapped, "place").select("term", "doc_id")
 
 

@@ -53,6 +53,15 @@ def gaps(posted):
     return out
 
 
+@pytest.mark.parametrize("block", [4, 1 << 20])
+def test_decoding_reads_each_shuffle_once(docs, plan_of, monkeypatch, block):
+    monkeypatch.setattr(P, "BLOCK", block)
+    gapped = P.doc_gaps(P.all_postings(docs).select("term", "doc_id")).withColumnRenamed("doc_id", "place")
+    back = P.undo_doc_gaps(gapped, "place")
+    assert all(r["doc_id"] == r["place"] for r in back.collect()) and back.count() == len(counted(ROWS))
+    assert plan_of(back.select("term", "doc_id")).count("ReusedExchange") == 2
+
+
 def size_of(n):
     return 5 if n is None else next((k for k in range(1, 5) if n < 1 << 7 * k), 5)
 
