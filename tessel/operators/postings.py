@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tessel.functions import vbyte
 from tessel.functions.text import DEFAULT, TokenOptions, display_title, tokens
-from tessel.sources.storage import cut
 
 
 def occurrences(docs: DataFrame, options: TokenOptions = DEFAULT, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -178,11 +177,11 @@ FORWARD_HEADER, FORWARD_RECORD, INVERTED_HEADER, INVERTED_RECORD, DOC_ID_BYTES =
 
 
 def index_sizes(posted: DataFrame, forward: DataFrame) -> DataFrame:
-    """One row: bytes of the packed forward index and of the inverted index with plain and with packed postings. Postings
-    are made and written once, however often they are read here."""
-    posted = cut(posted, "postings")
-    words = dictionary(posted).agg(F.count("*").alias("terms"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("term_bytes"), F.coalesce(F.sum("df"), F.lit(0)).alias("n"))
+    """One row: bytes of the packed forward index and of the inverted index with plain and with packed postings. One pass
+    over the postings: a term counts at its first document."""
+    first = F.col("_previous").isNull()
+    words = _sized(posted).agg(F.count_if(first).alias("terms"), F.coalesce(F.sum(F.when(first, F.octet_length("term"))), F.lit(0)).alias("term_bytes"), F.count("*").alias("n"), _postings_bytes())
     heap = forward.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.octet_length("url") + F.octet_length("title")), F.lit(0)).alias("heap"))
-    both = words.select("*", *[heap.select(c).scalar().alias(c) for c in heap.columns], packed_bytes(posted).scalar().alias("postings_bytes"))
+    both = words.select("*", *[heap.select(c).scalar().alias(c) for c in heap.columns])
     head = F.lit(INVERTED_HEADER) + F.col("terms") * INVERTED_RECORD + F.col("term_bytes")
     return both.select((F.lit(FORWARD_HEADER) + F.col("docs") * FORWARD_RECORD + F.col("heap")).cast("long").alias("fwd_bytes"), (head + F.col("n") * DOC_ID_BYTES).cast("long").alias("inv1_bytes"), (head + F.col("postings_bytes")).cast("long").alias("inv2_bytes"))

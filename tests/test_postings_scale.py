@@ -80,9 +80,12 @@ def test_sizes_take_one_pass_over_the_texts(spark, plan_of, monkeypatch, block):
     far = gaps(places)
     want = sum(size_of(far[k]) + size_of(len(p)) + sum(size_of(b - a) for a, b in zip([0] + p, p)) for k, p in places.items())
     posted = P.postings(docs, positions=True)
-    sized = P.packed_bytes(posted)
+    sized, both = P.packed_bytes(posted), P.index_sizes(posted, P.forward_index(docs))
     assert sized.first()[0] == want
-    for df in (sized,):
+    terms = {t for t, _ in places}
+    head = 40 + 24 * len(terms) + sum(len(t.encode()) for t in terms)
+    assert tuple(both.first()) == (20 + 24 * len(rows), head + 4 * len(places), head + want)
+    for df in (sized, both):
         plan = plan_of(df)
         assert plan.count("ReusedExchange") == 1 and "postings-" not in plan
 
