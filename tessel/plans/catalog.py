@@ -160,7 +160,7 @@ _GAPPED = f"{_POSTED}, gapped AS (SELECT term, doc_id, tf, doc_id - lag(doc_id,
 
 @query(f"WITH {_GAPPED} SELECT * FROM gapped")
 def doc_gaps(spark, d):
-    return P.doc_gaps(P.postings(documents(spark, d)))
+    return P.doc_gaps(P.all_postings(documents(spark, d)))
 
 
 @query(f"WITH {_PLACED}, g AS (SELECT term, doc_id, pos, pos - lag(pos, 1, 0) OVER (PARTITION BY term, doc_id ORDER BY pos) AS gap FROM placed) SELECT term, doc_id, string_agg(gap::VARCHAR, ',' ORDER BY pos) AS pos_gaps FROM g GROUP BY ALL")

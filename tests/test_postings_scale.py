@@ -53,6 +53,14 @@ def gaps(posted):
     return out
 
 
+@pytest.mark.parametrize("block", [4, 1 << 20])
+def test_gaps_read_one_shuffle_and_keep_rows_without_id(docs, plan_of, monkeypatch, block):
+    monkeypatch.setattr(P, "BLOCK", block)
+    gapped = P.doc_gaps(P.all_postings(docs))
+    assert {(r["term"], r["doc_id"]): r["doc_gap"] for r in gapped.collect()} == gaps([(t, i) for t, i, _ in counted(ROWS)])
+    assert plan_of(gapped).count("ReusedExchange") == 1
+
+
 @pytest.mark.parametrize("block", [4, 1 << 20])
 def test_decoding_reads_each_shuffle_once(docs, plan_of, monkeypatch, block):
     monkeypatch.setattr(P, "BLOCK", block)
