@@ -127,17 +127,17 @@ def zipf(spark, d):
 
 @query(f"WITH {_POSTED} SELECT * FROM posted")
 def postings_tf(spark, d):
-    return P.postings(documents(spark, d))
+    return P.all_postings(documents(spark, d))
 
 
 @query(f"WITH {_POSTED} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM posted GROUP BY term")
 def doc_freq(spark, d):
-    return P.dictionary(P.postings(documents(spark, d)))
+    return P.dictionary(P.all_postings(documents(spark, d)))
 
 
 @query(f"WITH {_WORDS} SELECT count(*) AS terms, avg(strlen(term)) AS avg_term_len_bytes FROM (SELECT DISTINCT term FROM words)")
 def dict_stats(spark, d):
-    return P.dictionary_stats(P.dictionary(P.postings(documents(spark, d))))
+    return P.dictionary_stats(P.dictionary(P.all_postings(documents(spark, d))))
 
 
 @query(f"WITH {_PLACED} SELECT term, doc_id, pos FROM placed")
@@ -152,7 +152,7 @@ def postings_positions(spark, d):
 
 @query(f"WITH {_POSTED} SELECT term, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS docs FROM posted GROUP BY term")
 def postings_lists(spark, d):
-    return P.postings_lists(P.postings(documents(spark, d))).withColumn("docs", F.array_join(F.col("docs").cast("array<string>"), ","))
+    return P.postings_lists(P.all_postings(documents(spark, d))).withColumn("docs", F.array_join(F.col("docs").cast("array<string>"), ","))
 
 
 _GAPPED = f"{_POSTED}, gapped AS (SELECT term, doc_id, tf, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY term ORDER BY doc_id) AS doc_gap FROM posted)"
